@@ -19,8 +19,10 @@ from tokenizers import Tokenizer
 
 from tokenloom.llm.textual import mix
 
-#: Distinct pre-tokens a worker remembers (some 150 bytes each); later ones are encoded anew in each block.
-CACHE_SIZE = 1_000_000
+#: Distinct pre-tokens a worker remembers (some 200 bytes each); later ones are encoded anew in each block.
+CACHE_SIZE = 400_000
+#: Begins the key of an opaque piece; plain ones have no control characters.
+MARK = b"\0"
 SPACE, LETTER, DIGIT, OTHER, OPAQUE = range(5)
 #: What the tokenizer's pattern takes as one pre-token after an apostrophe.
 CONTRACTIONS = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")
@@ -63,12 +65,12 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 class PreTokens:
     """The pre-tokens of a block: the text each is in, its number among the distinct ones, and those."""
 
-    def __init__(self, text: np.ndarray, number: np.ndarray, distinct: list[tuple[bool, bytes]]):
+    def __init__(self, text: np.ndarray, number: np.ndarray, distinct: list[bytes]):
         self.text, self.number, self.distinct = text, number, distinct
 
 
 def pre_tokens(offsets: np.ndarray, data: np.ndarray) -> PreTokens:
-    """Cuts the texts between ``offsets`` in ``data``; a distinct one is (opaque, its lower-cased or raw bytes)."""
+    """Cuts the texts between ``offsets`` in ``data``; a distinct one is its lower-cased bytes, an opaque one MARK and its raw bytes."""
     offsets = offsets - offsets[0]
     size = len(data)
     if not size:
@@ -124,7 +126,7 @@ def pre_tokens(offsets: np.ndarray, data: np.ndarray) -> PreTokens:
     raw = low.tobytes()
     spans = zip(is_opaque[first].tolist(), start[first].tolist(), stop[first].tolist(), strict=True)
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(start, offsets)))
-    return PreTokens(text, number, [(o, raw[a:b]) for o, a, b in spans])
+    return PreTokens(text, number, [MARK + raw[a:b] if o else raw[a:b] for o, a, b in spans])
 
 
 class BlockEncoder:
@@ -135,16 +137,16 @@ class BlockEncoder:
         self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.letters = _byte_letters()
-        self.cache: dict[tuple[bool, bytes], int] = {}
+        self.cache: dict[bytes, int] = {}
         self.cache_size = cache_size
         self.flat = np.zeros(1 << 16, dtype=self.dtype)
         self.start = np.zeros(1 << 14, dtype=np.int64)  # of each known pre-token's ids, and where the last one's end
         self.known = 0
 
-    def ids(self, opaque: bool, piece: bytes) -> list[int]:
-        """The ids of one pre-token or opaque chunk."""
-        if opaque:
-            return self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids
+    def ids(self, piece: bytes) -> list[int]:
+        """The ids of one pre-token or opaque piece."""
+        if piece.startswith(MARK):
+            return self.tokenizer.encode(piece[1:].decode(), add_special_tokens=False).ids
         letters = self.letters
         return [x.id for x in self.model.tokenize("".join([letters[b] for b in piece]))]
 
@@ -168,7 +170,7 @@ class BlockEncoder:
         for key in found.distinct:
             slot = cache.get(key)
             if slot is None:
-                slot = self._add(self.ids(*key))
+                slot = self._add(self.ids(key))
                 if len(cache) < self.cache_size:
                     cache[key] = slot
                     settled = self.known

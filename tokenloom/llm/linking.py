@@ -1,17 +1,19 @@
-"""Exact links between sets that share a bucket, without emitting all pairs of a bucket.
-
-Buckets come from MinHash bands.  Work goes in two rounds:
-
-1. Every member of a bucket is compared with the bucket's leader (one edge a member), and
-   the confirmed links are joined into components.
-2. Buckets whose members are by then all in one component cannot add anything.  In the
-   others only members of *different* components are compared, and only where their sizes
-   and the agreement of their signatures leave the threshold possible.  Buckets of more
-   than ``HOT`` members take their candidates from the sets' rarest shingles instead
-   (prefix filtering, which is exact): members that share only what everyone in the bucket
-   shares never meet.
-
-A link that connects two components is therefore never lost to a cap.
+"""Confirmed links between sets that share a bucket, without emitting all pairs of a bucket.
+
+Buckets come from MinHash bands.  Work goes in rounds of one edge a member at most:
+
+1. Every member of a bucket is compared with the bucket's centre, the member that collides most over all its
+   buckets.  Copies with edits of their own lie around the text they were made from: where two of them are
+   similar enough, either is similar enough to the one with the fewest edits.  Confirmed links make components.
+2. Buckets whose members are by then all in one component cannot add anything.  In the others the members outside the
+   centre's component are compared with the most central one of themselves.
+3. What is still in different components is compared pair by pair: in buckets of ``HOT`` members at most all such pairs
+   whose sizes leave the threshold possible.  Members of larger buckets meet where they share one of their
+   rarest shingles (prefix filtering): each other where it has ``SHARED`` users at most, else the most central of its users.
+
+All candidates are confirmed on full sets, so no false link is made.  A link between two components can be missed only
+if its ends are in buckets of more than ``HOT`` members, are both too far from every centre they were compared with, and
+all the rare shingles they share have over ``SHARED`` users.
 """
 
 from __future__ import annotations
@@ -20,14 +22,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokenloom.llm.components import connected_components
 from tokenloom.llm.scratch import Scratch
 
-#: Members of a bucket beyond which candidates come from rare shingles.
-HOT = 64
+#: Members of a bucket beyond which candidates come from centres and rare shingles.
+HOT = 32
+#: Users of a rare shingle beyond which they meet the most central of them only.
+SHARED = 128
 
 
 def _agreement(minimum: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -93,54 +97,88 @@ def _explode_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         sets = [np.frombuffer(x.as_buffer(), dtype=np.int64) for x in batch.column("shingles")]
         if sets:
             index = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-            yield pa.RecordBatch.from_arrays([batch.column("cid").take(pa.array(index)), batch.column("comp").take(pa.array(index)), batch.column("n").take(pa.array(index)), pa.array(np.concatenate(sets))], names=["cid", "comp", "n", "shingle"])
+            yield pa.RecordBatch.from_arrays([batch.column("cid").take(pa.array(index)), batch.column("comp").take(pa.array(index)), batch.column("n").take(pa.array(index)), batch.column("weight").take(pa.array(index)), pa.array(np.concatenate(sets))], names=["cid", "comp", "n", "weight", "key"])
 
 
-def _rare_pairs(pool: DataFrame, ratio: tuple[int, int]) -> DataFrame:
-    """Pairs of different components in ``pool(cid, comp, n, shingles)`` that share one of their rarest shingles.
+def _rare_pairs(pool: DataFrame, ratio: tuple[int, int], scratch: Scratch) -> DataFrame:
+    """Candidates of different components in ``pool(cid, comp, n, weight, shingles)`` that share one of their rarest shingles.
 
     Two sets of similarity num/den must share one of the first n - ceil(n * num / den) + 1
-    shingles of each in any common order, here rarest first.
+    shingles of each in any common order, here rarest first.  Users of a shingle meet each other where they are
+    ``SHARED`` at most, else the most central of them.
     """
     num, den = ratio
-    each = pool.mapInArrow(_explode_shingles, "cid binary, comp binary, n long, shingle long")
-    counted = each.join(each.groupBy("shingle").agg(F.count("*").alias("uses")).where("uses > 1"), "shingle", "left")
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("cid").orderBy(F.coalesce("uses", F.lit(1)), "shingle")
+    each = pool.mapInArrow(_explode_shingles, "cid binary, comp binary, n long, weight long, key long")
+    counted = each.join(each.groupBy("key").agg(F.count("*").alias("uses")).where("uses > 1"), "key", "left")
+    order = Window.partitionBy("cid").orderBy(F.coalesce("uses", F.lit(1)), "key")
     prefix = F.col("n") - F.ceil(F.col("n") * F.lit(num) / F.lit(den)) + 1
-    heads = counted.withColumn("place", F.row_number().over(order)).where((F.col("place") <= prefix) & (F.col("uses") > 1))
-    left, right = (heads.select(F.col("shingle"), F.col("cid").alias(x), F.col("comp").alias(f"comp_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
+    heads = scratch.save(counted.withColumn("place", F.row_number().over(order)).where((F.col("place") <= prefix) & (F.col("uses") > 1)), "rare-shingles")
+    return _meeting(heads.where(F.col("uses") <= SHARED), ratio).union(_to_centre(heads.where(F.col("uses") > SHARED)))
+
+
+def _meeting(placed: DataFrame, ratio: tuple[int, int]) -> DataFrame:
+    """Pairs of different components that share a key and whose sizes leave the threshold possible."""
+    num, den = ratio
     fits = den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b")
-    return left.join(right, "shingle").where((F.col("comp_a") < F.col("comp_b")) & fits).select("a", "b").distinct()
+    left, right = (placed.select("key", F.col("cid").alias(x), F.col("comp").alias(f"comp_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
+    return left.join(right, "key").where((F.col("comp_a") < F.col("comp_b")) & fits).select("a", "b").distinct()
+
+
+def _both_ways(edges: DataFrame) -> DataFrame:
+    return edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+
+def _as_edges(roots: DataFrame) -> DataFrame:
+    return roots.select(F.col("id").alias("a"), F.col("root").alias("b"))
+
+
+def _centres(placed: DataFrame) -> DataFrame:
+    """The most central member of each bucket and its component."""
+    return placed.groupBy("key").agg(F.max(F.struct("weight", "cid", "comp")).alias("c")).select("key", F.col("c.cid").alias("centre"), F.col("c.comp").alias("centre_comp"))
+
+
+def _to_centre(placed: DataFrame) -> DataFrame:
+    """An edge from the centre of a bucket to each member that is in another component, once."""
+    return placed.join(_centres(placed), "key").where("comp != centre_comp").select(F.col("centre").alias("a"), F.col("cid").alias("b")).distinct()
+
+
+def _outside(placed: DataFrame) -> DataFrame:
+    """The members that aren't in the component of their bucket's centre."""
+    return placed.join(_centres(placed), "key").where("comp != centre_comp").drop("centre", "centre_comp")
+
+
+def _open(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """Buckets with more than one component, each member with its own."""
+    placed = shared.join(roots.withColumnRenamed("id", "cid"), "cid", "left").select("key", "cid", "members", "weight", F.coalesce("root", "cid").alias("comp"))
+    split = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("key")
+    return placed.join(split, "key")
 
 
 def link(keys: DataFrame, sets_of: Callable[[DataFrame], DataFrame], ratio: tuple[int, int], scratch: Scratch) -> DataFrame:
-    """``keys(key, cid, n)`` -> ``(id, root)`` for every cid that has a link.
+    """``keys(key, cid)`` -> ``(id, root)`` for every cid that has a link.
 
     ``sets_of`` turns a table of cids into ``(cid, n, sig, shingles)``, shingles being sorted
     64-bit values as bytes.  ``ratio`` is the similarity as a fraction of whole numbers.
     """
-    leaders = keys.groupBy("key").agg(F.min("cid").alias("leader"), F.count("*").alias("members")).where("members > 1")
-    shared = scratch.save(keys.join(leaders, "key"), "shared-buckets")
+    sizes = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    shared = keys.join(sizes, "key")
+    central = shared.groupBy("cid").agg(F.sum("members").alias("weight"))
+    shared = scratch.save(shared.join(central, "cid"), "shared-buckets")
     sets = scratch.save(sets_of(shared.select("cid").distinct()), "sets")
-    star = scratch.save(shared.where("leader != cid").select(F.col("leader").alias("a"), F.col("cid").alias("b")).distinct(), "star")
-    links = _links(star, sets, ratio, scratch, "star-links")
-    roots = connected_components(links, scratch)
+    star = scratch.save(_to_centre(shared.withColumn("comp", F.col("cid"))), "star")
+    roots = connected_components(_links(star, sets, ratio, scratch, "star-links"), scratch)
 
-    placed = shared.join(roots.withColumnRenamed("id", "cid"), "cid", "left").select("key", "cid", "n", "members", F.coalesce("root", "cid").alias("comp"))
-    open_keys = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("key")
-    rest = scratch.save(placed.join(open_keys, "key"), "open-buckets")
-    num, den = ratio
-    fits = den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b")
-    few = rest.where(F.col("members") <= HOT)
-    left, right = (few.select("key", F.col("cid").alias(x), F.col("comp").alias(f"comp_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
-    pairs = left.join(right, "key").where((F.col("comp_a") < F.col("comp_b")) & fits).select("a", "b").distinct()
-    many = rest.where(F.col("members") > HOT).select("cid", "comp").distinct()
+    again = scratch.save(_to_centre(_outside(_open(shared, roots))).join(_both_ways(star), ["a", "b"], "left_anti"), "second-star")
+    more = _links(again, sets, ratio, scratch, "second-links")
+    roots = connected_components(_as_edges(roots).union(more), scratch)
+
+    rest = scratch.save(_open(shared, roots).join(sets.select("cid", "n"), "cid"), "open-buckets")
+    many = rest.where(F.col("members") > HOT).select("cid", "comp", "weight").distinct()
     pool = many.join(sets.select("cid", "n", "shingles"), "cid")
-    tried = star.union(star.select(F.col("b"), F.col("a")))
-    pairs = scratch.save(pairs.union(_rare_pairs(pool, ratio)).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+    pairs = _meeting(rest.where(F.col("members") <= HOT), ratio)
+    tried = _both_ways(star.union(again))
+    pairs = scratch.save(pairs.union(_rare_pairs(pool, ratio, scratch)).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
     more = _links(pairs, sets, ratio, scratch, "more-links")
     if more.limit(1).count():
-        roots = connected_components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).union(more), scratch)
+        roots = connected_components(_as_edges(roots).union(more), scratch)
     return roots

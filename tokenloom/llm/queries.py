@@ -5,10 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tokenloom.cluster import ship
+from tokenloom.llm import toxicity, transcripts, warc
+from tokenloom.llm.decontaminate import contaminated
+from tokenloom.llm.media import media_column, probe_column
 from tokenloom.llm.near_dedup import near_duplicates
 from tokenloom.llm.packing import pack
+from tokenloom.llm.passages import repeats
 from tokenloom.llm.token_counts import token_counts
 from tokenloom.llm.token_files import read_token_files, write_token_files
 
@@ -18,6 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score of every document, by a model of the labels outside the held-out third."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), where=~held_out)
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 4096 ids; columns as in ``packing.pack``."""
     return pack(table(spark, sf_dir, "documents"), capacity=4096, end=1)
@@ -28,6 +42,18 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, ratio=(85, 100))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as read back from archives: written as one gzip stream each, normalised, read by index."""
+    uri, files = warc.write_archives(table(spark, sf_dir, "pages"))
+    return warc.read_records(uri, warc.normalise(uri, files))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the benchmark items whose words they hold at least half of."""
+    found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "coverage", F.size("tiles").alias("n_tiles"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document, and whether it has more than 2048."""
     return token_counts(table(spark, sf_dir, "documents"), limit=2048)
@@ -38,11 +64,37 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(*write_token_files(table(spark, sf_dir, "documents"), end=2))
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's bytes in a media container, and what its tables say of it."""
+    probed = probe_column(media_column(table(spark, sf_dir, "documents")))
+    first, last = F.element_at("keyframes", 1), F.element_at("keyframes", -1)
+    feature = F.format_string("%s %d ms, %d keyframes from %d to %d", F.trim("codec"), "duration_ms", F.size("keyframes"), first["offset"], last["offset"] + last["bytes"])
+    return probed.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+
+
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every paragraph and passage that occurs in several places, and whether it is removed there."""
+    return repeats(table(spark, sf_dir, "documents"))
+
+
+def op10_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns recovered from the conversations' raw transcripts, in which roles are told by markers at most."""
+    raw = transcripts.raw_transcripts(table(spark, sf_dir, "conversations"))
+    model = transcripts.fit(raw.where(F.pmod(F.xxhash64("conv_id"), F.lit(2)) == 0))
+    return transcripts.parse(raw.drop("role"), model)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
     "op3_minhash": op3_minhash,
+    "op4_warc": op4_warc,
+    "op5_decontamination": op5_decontamination,
     "op6_token_counts": op6_token_counts,
     "op7_token_files": op7_token_files,
+    "op8_media": op8_media,
+    "op9_repeats": op9_repeats,
+    "op10_transcripts": op10_transcripts,
 }
 
 #: DuckDB SQL, brute force; the others are tested against the tokenizer library and exact round trips.
@@ -71,5 +123,14 @@ reach AS (
 )
 SELECT s.doc_id, CAST(s.n AS BIGINT) AS n_shingles, r.component_id, s.doc_id = r.component_id AS kept
 FROM sizes s JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) r USING (doc_id)
+""",
+    "op4_warc": """
+WITH p AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), f AS (SELECT payload_digest, min(page_id) AS owner FROM p WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT p.page_id, p.payload_bytes, p.payload_digest,
+       CASE WHEN owner <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN owner <> page_id THEN owner END AS refers_to
+FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest AND p.payload_bytes >= 100
 """,
 }

@@ -20,6 +20,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: As white space, and ASCII punctuation too.
+MARKS = _SPACE.copy()
+MARKS[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
 _POWERS: dict[str, np.ndarray] = {}
 #: Bytes of text worked on at once, so that the arrays stay small; a longer text is a block of its own.
 BLOCK_BYTES = 1 << 21
@@ -57,6 +60,8 @@ class Words:
     #: Where each text begins in the block; one more entry than texts.
     offsets: np.ndarray
     data: np.ndarray
+    #: Hashes of each word's first bytes, where they were asked for.
+    heads: np.ndarray | None = None
 
 
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -83,15 +88,15 @@ def blocks(offsets: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int,
         low = high
 
 
-def words_of(offsets: np.ndarray, data: np.ndarray) -> Words:
-    """The words of the texts that ``offsets`` cut out of ``data``."""
+def words_of(offsets: np.ndarray, data: np.ndarray, between: np.ndarray = _SPACE, head: int = 0) -> Words:
+    """The words of the texts that ``offsets`` cut out of ``data``; ``between`` marks the bytes outside words."""
     offsets = offsets - offsets[0]
     n = len(offsets) - 1
     if not len(data):
         none = np.zeros(0, dtype=np.int64)
-        return Words(none.astype(np.uint64), none, none, none, np.zeros(n + 1, dtype=np.int64), offsets, data)
+        return Words(none.astype(np.uint64), none, none, none, np.zeros(n + 1, dtype=np.int64), offsets, data, none.astype(np.uint64))
     low = _LOWER[data]
-    space = _SPACE[data]
+    space = between[data]
     edge = np.zeros(len(data) + 1, dtype=bool)
     edge[offsets] = True  # a word never runs on into the next text
     begins = ~space
@@ -104,9 +109,10 @@ def words_of(offsets: np.ndarray, data: np.ndarray) -> Words:
     total = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
     hashes = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    heads = mix((total[np.minimum(end, start + head)] - total[start]) * down[start]) if head else None
     first = np.searchsorted(start, offsets, side="left")
     text = np.repeat(np.arange(n), np.diff(first))
-    return Words(hashes, text, start, end, first, offsets, data)
+    return Words(hashes, text, start, end, first, offsets, data, heads)
 
 
 def windows(hashes: np.ndarray, k: int) -> np.ndarray:

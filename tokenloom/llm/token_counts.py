@@ -32,20 +32,20 @@ HEAD = 100_000
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         offsets, data = string_buffers(batch.column("text"))
-        total: dict[tuple[bool, bytes], int] = {}
+        total: dict[bytes, int] = {}
         for low, high in blocks(offsets):
             found = pre_tokens(offsets[low : high + 1], data[offsets[low] : offsets[high]])
             for key, n in zip(found.distinct, np.bincount(found.number).tolist(), strict=True):
                 total[key] = total.get(key, 0) + n
-        yield pa.RecordBatch.from_arrays([pa.array([k[1] for k in total], type=pa.binary()), pa.array([k[0] for k in total], type=pa.bool_()), pa.array(list(total.values()), type=pa.int64())], names=["pre_token", "opaque", "uses"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), type=pa.binary()), pa.array(list(total.values()), type=pa.int64())], names=["pre_token", "uses"])
 
 
 def _pieces(vocabulary: str):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = encoder(vocabulary).ids
         for batch in batches:
-            n = [len(ids(o.as_py(), p.as_py())) for p, o in zip(batch.column("pre_token"), batch.column("opaque"), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("pre_token", "opaque", "uses")), pa.array(n, type=pa.int64())], names=["pre_token", "opaque", "uses", "pieces"])
+            n = [len(ids(p.as_py())) for p in batch.column("pre_token")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("pre_token", "uses")), pa.array(n, type=pa.int64())], names=["pre_token", "uses", "pieces"])
 
     return count
 
@@ -54,7 +54,7 @@ def _frequencies(head):
     """Rows of one document each (pre_token null) with what the head gives, and of its rarer pre-tokens."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple[bool, bytes], int] = head.value
+        known: dict[bytes, int] = head.value
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             offsets, data = string_buffers(batch.column("text"))
@@ -76,10 +76,9 @@ def _frequencies(head):
                         pa.concat_arrays([ids, pa.nulls(m, ids.type)]),
                         pa.array(np.concatenate([np.diff(offsets[low : high + 1]), np.zeros(m, dtype=np.int64)])),
                         pa.array(np.concatenate([total, uses])),
-                        pa.array([None] * n + [k[1] for k in keys], type=pa.binary()),
-                        pa.array([None] * n + [k[0] for k in keys], type=pa.bool_()),
+                        pa.array([None] * n + keys, type=pa.binary()),
                     ],
-                    names=["row", "doc_id", "n_bytes", "n", "pre_token", "opaque"],
+                    names=["row", "doc_id", "n_bytes", "n", "pre_token"],
                 )
                 row += n
 
@@ -92,12 +91,12 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, limit: int = 20
     vocabulary = vocabulary or default_vocabulary()
     scratch = Scratch(spark, "token-counts")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    distinct = texts.select("text").mapInArrow(_distinct, "pre_token binary, opaque boolean, uses long").groupBy("pre_token", "opaque").agg(F.sum("uses").alias("uses"))
-    counted = scratch.save(distinct.mapInArrow(_pieces(vocabulary), "pre_token binary, opaque boolean, uses long, pieces long"), "pieces")
-    top = counted.orderBy(F.desc("uses"), "pre_token", "opaque").limit(head).select("opaque", "pre_token", "pieces").toPandas()
-    known = {(bool(o), bytes(p)): int(n) for o, p, n in top.itertuples(index=False)}
-    spread = scratch.save(texts.mapInArrow(_frequencies(spark.sparkContext.broadcast(known)), "row long, doc_id long, n_bytes long, n long, pre_token binary, opaque boolean"), "frequencies")
-    rare = spread.where("pre_token IS NOT NULL").join(counted.select("pre_token", "opaque", "pieces"), ["pre_token", "opaque"])
+    distinct = texts.select("text").mapInArrow(_distinct, "pre_token binary, uses long").groupBy("pre_token").agg(F.sum("uses").alias("uses"))
+    counted = scratch.save(distinct.mapInArrow(_pieces(vocabulary), "pre_token binary, uses long, pieces long"), "pieces")
+    top = counted.orderBy(F.desc("uses"), "pre_token").limit(head).select("pre_token", "pieces").toPandas()
+    known = {bytes(p): int(n) for p, n in top.itertuples(index=False)}
+    spread = scratch.save(texts.mapInArrow(_frequencies(spark.sparkContext.broadcast(known)), "row long, doc_id long, n_bytes long, n long, pre_token binary"), "frequencies")
+    rare = spread.where("pre_token IS NOT NULL").join(counted.select("pre_token", "pieces"), "pre_token")
     rest = rare.groupBy("row").agg(F.sum(F.col("n") * F.col("pieces")).alias("rest"))
     out = spread.where("pre_token IS NULL").join(rest, "row", "left")
     tokens = F.col("n") + F.coalesce("rest", F.lit(0))
