@@ -1 +1 @@
-"""."""
+"""The registered queries over the test tables, and the SQL they are checked against."""
