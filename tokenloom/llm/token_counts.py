@@ -3,7 +3,7 @@
 1. One pass finds the distinct pre-tokens of the corpus and how often they occur, summed
    within tasks before the shuffle; the tokenizer then counts the pieces of each once.
 2. A second pass reduces every document to its pre-token frequencies.  Those of the
-   ``HEAD`` most frequent pre-tokens, a fixed number that is broadcast, are multiplied
+   most frequent pre-tokens, ``HEAD`` of them at most, which are broadcast, are multiplied
    there; the rest go through a join on the pre-token and are summed by document.
 
 The head takes the skew out of the join: no pre-token that is frequent enough to be hot is in
@@ -93,7 +93,15 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, limit: int = 20
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     distinct = texts.select("text").mapInArrow(_distinct, "pre_token binary, uses long").groupBy("pre_token").agg(F.sum("uses").alias("uses"))
     counted = scratch.save(distinct.mapInArrow(_pieces(vocabulary), "pre_token binary, uses long, pieces long"), "pieces")
-    top = counted.orderBy(F.desc("uses"), "pre_token").limit(head).select("pre_token", "pieces").toPandas()
+    # the rarest of the head by a histogram of the counts, some hundred rows: no task sends more than it has of the head
+    steps = counted.groupBy(F.floor(F.log2("uses") * 8).alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect()
+    taken, least = 0, None
+    for row in steps:
+        taken += row["n"]
+        if taken > head:
+            break
+        least = row["step"]
+    top = counted.where(F.lit(False) if least is None else F.floor(F.log2("uses") * 8) >= least).select("pre_token", "pieces").toPandas()
     known = {bytes(p): int(n) for p, n in top.itertuples(index=False)}
     spread = scratch.save(texts.mapInArrow(_frequencies(spark.sparkContext.broadcast(known)), "row long, doc_id long, n_bytes long, n long, pre_token binary"), "frequencies")
     rare = spread.where("pre_token IS NOT NULL").join(counted.select("pre_token", "pieces"), "pre_token")
