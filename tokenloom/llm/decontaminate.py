@@ -128,7 +128,7 @@ def _benchmark_blocks(benchmark: DataFrame, block_words: int) -> Iterator[Benchm
     parts = max(1, -(-total // (4 * block_words)))  # a word and its gap are four bytes or more, nearly always
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
     for p in range(parts):
-        rows = (sized if parts == 1 else sized.where(part == p)).orderBy("item_id", "text").select("item_id", "text").toPandas()
+        rows = (sized if parts == 1 else sized.where(part == p)).orderBy("item_id", "text").select("item_id", "text").toArrow().to_pandas()
         if len(rows):
             yield Benchmark([None if x != x else int(x) for x in rows["item_id"]], rows["text"].tolist())
 

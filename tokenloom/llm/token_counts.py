@@ -101,7 +101,7 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, limit: int = 20
         if taken > head:
             break
         least = row["step"]
-    top = counted.where(F.lit(False) if least is None else F.floor(F.log2("uses") * 8) >= least).select("pre_token", "pieces").toPandas()
+    top = counted.where(F.lit(False) if least is None else F.floor(F.log2("uses") * 8) >= least).select("pre_token", "pieces").toArrow().to_pandas()
     known = {bytes(p): int(n) for p, n in top.itertuples(index=False)}
     spread = scratch.save(texts.mapInArrow(_frequencies(spark.sparkContext.broadcast(known)), "row long, doc_id long, n_bytes long, n long, pre_token binary"), "frequencies")
     rare = spread.where("pre_token IS NOT NULL").join(counted.select("pre_token", "pieces"), "pre_token")

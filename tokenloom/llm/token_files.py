@@ -119,7 +119,7 @@ def write_token_files(docs: DataFrame, uri: str | None = None, vocabulary: str |
     bounds = sorted({int(x) for x in docs.select(F.col("doc_id").cast("long").alias("doc_id")).approxQuantile("doc_id", cuts, 0.1 / parts)}) if cuts else []
     spread = encode_rows(docs, vocabulary, end, bounds).repartitionById(parts, F.col("part"))
     ordered = spread.sortWithinPartitions(F.asc_nulls_first("doc_id"), "ids").select("doc_id", "ids")
-    written = ordered.mapInArrow(_write(uri, encoder(vocabulary).dtype.itemsize), MANIFEST).toPandas().drop_duplicates("part").sort_values("part")
+    written = ordered.mapInArrow(_write(uri, encoder(vocabulary).dtype.itemsize), MANIFEST).toArrow().to_pandas().drop_duplicates("part").sort_values("part")
     written["base"] = written["ids"].cumsum() - written["ids"]
     manifest = spark.createDataFrame(written.reset_index(drop=True), MANIFEST).repartition(max(1, len(written)))
     manifest.mapInArrow(_offsets(uri), MANIFEST).count()

@@ -211,7 +211,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, where: Column | None = N
 
 
 def fit(docs: DataFrame, labels: DataFrame, where: Column | None = None, size: int = SAMPLE) -> Model:
-    sample = labelled_sample(docs, labels, where, size).toPandas()
+    sample = labelled_sample(docs, labels, where, size).toArrow().to_pandas()
     return train(sample["text"].tolist(), sample["toxic"].to_numpy(), sample["lang"].tolist())
 
 

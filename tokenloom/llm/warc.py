@@ -145,7 +145,7 @@ def write_archives(pages: DataFrame, uri: str | None = None, level: int = 6) ->
         fs.move(attempt, name)
         yield pa.RecordBatch.from_pylist([{"uri": name.rsplit("/", 1)[1], "records": records, "bytes": size}], schema=_FILE_ARROW)
 
-    files = with_owners(pages).mapInArrow(write, FILE).toPandas().drop_duplicates("uri")
+    files = with_owners(pages).mapInArrow(write, FILE).toArrow().to_pandas().drop_duplicates("uri")
     return uri, pages.sparkSession.createDataFrame(files, FILE).repartition(max(1, len(files)))
 
 
@@ -183,7 +183,7 @@ def normalise(uri: str, files: DataFrame, keep_source: bool = False) -> DataFram
                     records = index.read().count(b"\n")
                 yield pa.RecordBatch.from_pylist([{"uri": new, "records": records, "bytes": info.size}], schema=_FILE_ARROW)
 
-    made = files.mapInArrow(run, FILE).toPandas().drop_duplicates("uri")
+    made = files.mapInArrow(run, FILE).toArrow().to_pandas().drop_duplicates("uri")
     return files.sparkSession.createDataFrame(made, FILE).repartition(max(1, len(made)))
 
 
