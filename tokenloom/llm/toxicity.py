@@ -9,7 +9,7 @@ of their id.  A quarter of it sets the scale of the score, where 0.7 stands for
 cut for each language with enough labelled rows.  The sample and the model are of a fixed size.
 
 Defined results: a null or empty text is scored like any other (by the model's bias); repeated rows
-get the same score; labels of an id that disagree count as toxic; without labels of both kinds every score is
+get the same score but for the rounding of 32-bit sums; labels of an id that disagree count as toxic; without labels of both kinds every score is
 the share of toxic labels (0 without any); an empty table gives no rows; a null or rare language takes the
 overall cut.  Columns of ``docs`` other than doc_id, text and lang are passed through unread.
 """
@@ -34,7 +34,8 @@ EPOCHS, LEAST_STEPS, BATCH, RATE, HEAD_BYTES = 6, 600, 32, 0.02, 4
 CUT = 0.7
 #: Labelled rows of a language, and of either label in it, from which it gets a cut of its own.
 LANGUAGE_ROWS, LANGUAGE_LABEL = 40, 8
-_PAD = max(WIDTHS) - 1
+#: Empty words after each text, so that every filter has a window in an empty one too.
+_PAD = max(WIDTHS)
 
 
 @dataclass
@@ -53,8 +54,8 @@ class Model:
         """The filters' maxima for texts whose words' table rows are ``rows[first[i]:first[i + 1]]``."""
         n = len(first) - 1
         counts = np.diff(first)
-        at = np.arange(len(rows)) + np.repeat(np.arange(n) * _PAD, counts)  # every text ends in padding, so no window spans two
-        x = np.zeros((len(rows) + n * _PAD, DIMENSIONS), dtype=np.float32)
+        at = np.arange(len(rows)) + np.repeat(np.arange(n) * _PAD, counts)
+        x = np.zeros((len(rows) + n * _PAD + 1, DIMENSIONS), dtype=np.float32)
         x[at] = self.table[rows[:, 0]] + self.table[rows[:, 1]]
         begin = first[:-1] + np.arange(n) * _PAD
         # all products at once, a filter a row: sums of shifted rows are the convolutions
@@ -65,12 +66,13 @@ class Model:
             for o in range(1, w):
                 z[:, : z.shape[1] - o] += every[row + o * FILTERS : row + (o + 1) * FILTERS, o:]
             row += w * FILTERS
-            out.append(np.maximum.reduceat(z, begin, axis=1))
+            spans = np.stack([begin, begin + counts + _PAD - w + 1], axis=1).ravel()  # windows that end in the text's own padding
+            out.append(np.maximum.reduceat(z, spans, axis=1)[:, ::2])
         return np.concatenate(out).T
 
     def raw(self, rows: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Scores before scaling."""
-        return np.tanh(self.maxima(rows, first) + self.bias) @ self.weights + self.constant
+        return np.tanh((self.maxima(rows, first) + self.bias).astype(np.float64)) @ self.weights.astype(np.float64) + self.constant
 
     def score(self, z: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.scale * z + self.shift, -30, 30)))
