@@ -1,4 +1,4 @@
-"""Getting this package's code to the executors."""
+"""What every job needs of the cluster: this package's code on the executors and a folder that all machines share."""
 
 from __future__ import annotations
 
@@ -24,3 +24,16 @@ def ship(spark: SparkSession) -> None:
             z.write(p, os.path.join(root.name, p.relative_to(root)))
     context.addPyFile(str(archive))
     _SHIPPED.add(context.applicationId)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``.
+
+    Where the setting is absent (single-machine tests) it is set here, once, to a fresh
+    local folder; a cluster must name one that all machines see.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        folder = "file://" + tempfile.mkdtemp(prefix="spark-tokenloom-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
