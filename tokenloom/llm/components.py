@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tokenloom.llm.scratch import Scratch
 
+#: A round's table is written by so many tasks and one more for each so many edges.
+LEAST_TASKS, ROWS_A_TASK = 6, 500_000
+
 
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """``edges(a, b)``, either direction, any orderable id type -> ``(id, root)``, root the least id reachable.
@@ -19,13 +22,14 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """
     edges = edges.where("a IS NOT NULL AND b IS NOT NULL AND a != b").select("a", "b")
     both = scratch.save(edges.union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges")
-    labels = scratch.save(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "labels")
+    tasks = LEAST_TASKS + both.count() // ROWS_A_TASK
+    labels = scratch.save(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "labels", tasks)
     while True:
         near = both.join(labels, both.b == labels.id).groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
         low = labels.join(near, "id").select("id", F.col("root").alias("was"), F.least("root", "near").alias("root"))
         up = labels.select(F.col("id").alias("root"), F.col("root").alias("next"))
         step = low.join(up, "root", "left").select("id", "was", F.least("root", F.coalesce("next", "root")).alias("root"))
-        new = scratch.save(step, "labels")
+        new = scratch.save(step, "labels", tasks)
         changed = new.where("root != was").limit(1).count()
         scratch.delete(labels)
         labels = new.select("id", "root")

@@ -30,6 +30,8 @@ from tokenloom.llm.scratch import Scratch
 
 #: Members of a bucket beyond which candidates come from centres and rare shingles.
 HOT = 32
+#: Tables are written by so many tasks and one more for each so many band keys.
+LEAST_TASKS, KEYS_A_TASK = 12, 1_000_000
 #: Users of a rare shingle beyond which they meet the most central of them only.
 SHARED = 128
 
@@ -68,7 +70,7 @@ def _confirm(numerator: int, denominator: int) -> Callable[[Iterator[pa.RecordBa
     return keep
 
 
-def _links(edges: DataFrame, sets: DataFrame, ratio: tuple[int, int], scratch: Scratch, name: str) -> DataFrame:
+def _links(edges: DataFrame, sets: DataFrame, ratio: tuple[int, int], scratch: Scratch, name: str, tasks: int) -> DataFrame:
     """The confirmed ones of candidate ``edges(a, b)``.
 
     Signatures are compared first, for they are a fiftieth of the sets' bytes.  A pair at the
@@ -89,7 +91,7 @@ def _links(edges: DataFrame, sets: DataFrame, ratio: tuple[int, int], scratch: S
         .join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("set_a")), "a")
         .select("a", "b", "set_a", "set_b")
     )
-    return scratch.save(both.mapInArrow(_confirm(num, den), edges.select("a", "b").schema), name)
+    return scratch.save(both.mapInArrow(_confirm(num, den), edges.select("a", "b").schema), name, tasks)
 
 
 def _explode_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,7 +102,7 @@ def _explode_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays([batch.column("cid").take(pa.array(index)), batch.column("comp").take(pa.array(index)), batch.column("n").take(pa.array(index)), batch.column("weight").take(pa.array(index)), pa.array(np.concatenate(sets))], names=["cid", "comp", "n", "weight", "key"])
 
 
-def _rare_pairs(pool: DataFrame, ratio: tuple[int, int], scratch: Scratch) -> DataFrame:
+def _rare_pairs(pool: DataFrame, ratio: tuple[int, int], scratch: Scratch, tasks: int) -> DataFrame:
     """Candidates of different components in ``pool(cid, comp, n, weight, shingles)`` that share one of their rarest shingles.
 
     Two sets of similarity num/den must share one of the first n - ceil(n * num / den) + 1
@@ -112,7 +114,7 @@ def _rare_pairs(pool: DataFrame, ratio: tuple[int, int], scratch: Scratch) -> Da
     counted = each.join(each.groupBy("key").agg(F.count("*").alias("uses")).where("uses > 1"), "key", "left")
     order = Window.partitionBy("cid").orderBy(F.coalesce("uses", F.lit(1)), "key")
     prefix = F.col("n") - F.ceil(F.col("n") * F.lit(num) / F.lit(den)) + 1
-    heads = scratch.save(counted.withColumn("place", F.row_number().over(order)).where((F.col("place") <= prefix) & (F.col("uses") > 1)), "rare-shingles")
+    heads = scratch.save(counted.withColumn("place", F.row_number().over(order)).where((F.col("place") <= prefix) & (F.col("uses") > 1)), "rare-shingles", tasks)
     return _meeting(heads.where(F.col("uses") <= SHARED), ratio).union(_to_centre(heads.where(F.col("uses") > SHARED)))
 
 
@@ -160,25 +162,27 @@ def link(keys: DataFrame, sets_of: Callable[[DataFrame], DataFrame], ratio: tupl
     ``sets_of`` turns a table of cids into ``(cid, n, sig, shingles)``, shingles being sorted
     64-bit values as bytes.  ``ratio`` is the similarity as a fraction of whole numbers.
     """
+    tasks = LEAST_TASKS + keys.count() // KEYS_A_TASK
     sizes = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     shared = keys.join(sizes, "key")
     central = shared.groupBy("cid").agg(F.sum("members").alias("weight"))
-    shared = scratch.save(shared.join(central, "cid"), "shared-buckets")
-    sets = scratch.save(sets_of(shared.select("cid").distinct()), "sets")
-    star = scratch.save(_to_centre(shared.withColumn("comp", F.col("cid"))), "star")
-    roots = connected_components(_links(star, sets, ratio, scratch, "star-links"), scratch)
+    shared = scratch.save(shared.join(central, "cid"), "shared-buckets", tasks)
+    sets = scratch.save(sets_of(shared.select("cid").distinct()), "sets", tasks)
+    star = scratch.save(_to_centre(shared.withColumn("comp", F.col("cid"))), "star", tasks)
+    roots = connected_components(_links(star, sets, ratio, scratch, "star-links", tasks), scratch)
 
-    again = scratch.save(_to_centre(_outside(_open(shared, roots))).join(_both_ways(star), ["a", "b"], "left_anti"), "second-star")
-    more = _links(again, sets, ratio, scratch, "second-links")
-    roots = connected_components(_as_edges(roots).union(more), scratch)
+    again = scratch.save(_to_centre(_outside(_open(shared, roots))).join(_both_ways(star), ["a", "b"], "left_anti"), "second-star", tasks)
+    more = _links(again, sets, ratio, scratch, "second-links", tasks)
+    if more.limit(1).count():
+        roots = connected_components(_as_edges(roots).union(more), scratch)
 
-    rest = scratch.save(_open(shared, roots).join(sets.select("cid", "n"), "cid"), "open-buckets")
+    rest = scratch.save(_open(shared, roots).join(sets.select("cid", "n"), "cid"), "open-buckets", tasks)
     many = rest.where(F.col("members") > HOT).select("cid", "comp", "weight").distinct()
     pool = many.join(sets.select("cid", "n", "shingles"), "cid")
     pairs = _meeting(rest.where(F.col("members") <= HOT), ratio)
     tried = _both_ways(star.union(again))
-    pairs = scratch.save(pairs.union(_rare_pairs(pool, ratio, scratch)).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-    more = _links(pairs, sets, ratio, scratch, "more-links")
+    pairs = scratch.save(pairs.union(_rare_pairs(pool, ratio, scratch, tasks)).distinct().join(tried, ["a", "b"], "left_anti"), "pairs", tasks)
+    more = _links(pairs, sets, ratio, scratch, "more-links", tasks)
     if more.limit(1).count():
         roots = connected_components(_as_edges(roots).union(more), scratch)
     return roots

@@ -22,9 +22,11 @@ class Scratch:
         self._n += 1
         return f"{self.root}/{self._n:03d}-{name}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes ``df`` once and returns a scan of what was written."""
+    def save(self, df: DataFrame, name: str, tasks: int | None = None) -> DataFrame:
+        """Writes ``df`` once, by ``tasks`` tasks at most, and returns a scan of what was written."""
         path = self.path(name)
+        if tasks is not None:
+            df = df.coalesce(tasks)
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
