@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-ADMITTED = "key long, id long, admitted boolean, wait double"
+ADMITTED = "key string, id long, admitted boolean, wait double"
 FRAMES = "conn long, n long, event string, data string"
 
 
