@@ -25,7 +25,7 @@ MARKS = _SPACE.copy()
 MARKS[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
 _POWERS: dict[str, np.ndarray] = {}
 #: Bytes of text worked on at once, so that the arrays stay small; a longer text is a block of its own.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -30,6 +30,8 @@ from tokenloom.llm.textual import MARKS, blocks, string_buffers, words_of
 SAMPLE = 2500
 BUCKETS_BITS, DIMENSIONS, FILTERS, WIDTHS = 17, 8, 8, (1, 2, 3)
 EPOCHS, LEAST_STEPS, BATCH, RATE, HEAD_BYTES = 6, 600, 32, 0.02, 4
+#: Bytes of text scored at once: a word takes some 300 bytes of products meanwhile.
+BLOCK_BYTES = 1 << 18
 #: The score that stands for the overall cut.
 CUT = 0.7
 #: Labelled rows of a language, and of either label in it, from which it gets a cut of its own.
@@ -226,7 +228,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             offsets, data = string_buffers(batch.column("text").cast(pa.string()))
             out = []
-            for low, high in blocks(offsets):
+            for low, high in blocks(offsets, BLOCK_BYTES):
                 out.append(m.score(m.raw(*word_rows(offsets[low : high + 1], data[offsets[low] : offsets[high]]))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out) if out else np.zeros(0), type=pa.float64())], names=[*batch.schema.names, "score"])
 
