@@ -80,7 +80,7 @@ def test_framed_stream(spark, tmp_path):
 
 def test_rate_limit_is_the_plain_loop(spark, sf):
     got = {r.id: (r.admitted, round(r.wait, 6)) for r in QUERIES["stream_rate_limit"](spark, sf).collect()}
-    events = duckdb.sql(f"SELECT event_type, event_id, epoch_us(ts) / 1e8 AS at FROM '{sf}/events.parquet' ORDER BY event_type, at, event_id").fetchall()
+    events = duckdb.sql(f"SELECT event_type, event_id, epoch_us(ts) / 1e8 AS secs FROM '{sf}/events.parquet' ORDER BY event_type, secs, event_id").fetchall()
     level: dict[str, tuple[float, float | None]] = {}
     want = {}
     for kind, i, at in events:
