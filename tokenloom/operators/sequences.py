@@ -15,7 +15,7 @@ def change_points(values: DataFrame, by: str, order: str, value: str, window: in
     rows = values.select(by, order, F.col(value).alias("v")).withColumn("i", F.row_number().over(w) - 1)
     n, sd = F.count("*").over(Window.partitionBy(by)), F.stddev_samp("v").over(Window.partitionBy(by))
     rows = rows.withColumns({"n": n, "sd": sd, "before": F.avg("v").over(w.rowsBetween(-window, -1)), "after": F.avg("v").over(w.rowsBetween(0, window - 1))})
-    hits = rows.where((F.col("i") >= window) & (F.col("i") <= F.col("n") - window) & (F.col("sd") > 0) & (F.abs(F.col("after") - F.col("before")) > 2 * F.col("sd")))
+    hits = rows.where((F.col("i") >= window) & (F.col("i") < F.col("n") - window) & (F.col("sd") > 0) & (F.abs(F.col("after") - F.col("before")) > 2 * F.col("sd")))
     kept = F.aggregate(F.array_sort(F.collect_list("i")), F.array().cast("array<int>"), lambda acc, x: F.when((F.size(acc) == 0) | (x - F.element_at(acc, -1) > window), F.concat(acc, F.array(x))).otherwise(acc))
     return hits.groupBy(by).agg(kept.alias("places"))
 

@@ -191,7 +191,7 @@ def holdout_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
 w AS (SELECT l_suppkey, row_number() OVER p - 1 AS i, count(*) OVER (PARTITION BY l_suppkey) AS n, stddev_samp(v) OVER (PARTITION BY l_suppkey) AS sd,
       avg(v) OVER (p ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS a, avg(v) OVER (p ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS b FROM v WINDOW p AS (PARTITION BY l_suppkey ORDER BY o))
 SELECT l_suppkey, list_reduce(list_prepend([-1000], list_transform(list_sort(list(i)), lambda x: [CAST(x AS INTEGER)])), lambda acc, x: CASE WHEN x[1] - acc[-1] > 5 THEN list_concat(acc, x) ELSE acc END)[2:] AS places
-FROM w WHERE i >= 5 AND i <= n - 5 AND sd > 0 AND abs(b - a) > 2 * sd GROUP BY 1""")
+FROM w WHERE i >= 5 AND i < n - 5 AND sd > 0 AND abs(b - a) > 2 * sd GROUP BY 1""")
 def change_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row 145."""
     v = table(spark, sf_dir, "lineitem").select("l_suppkey", F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity").alias("o"), "l_quantity")
