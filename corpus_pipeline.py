@@ -24,9 +24,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose score is below the cut of their language."""
-    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, model)
-    return scored.where(F.col("score") < toxicity.cut_of(model, F.col("lang"))).drop("score")
+    return toxicity.without_toxic(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -121,6 +121,8 @@ def test_classifier_on_held_out_rows(spark):
     odd = spark.createDataFrame([(1, None), (2, ""), (3, "x" * 100_000), (3, "word " * 30_000)], "doc_id long, text string")
     assert all(0 <= r.score <= 1 for r in toxicity.score(odd, model).collect())
     assert toxicity.score(odd.limit(0), model).count() == 0
+    clash = odd.withColumns({'score': F.lit('x'), 'lang': F.lit(None).cast('string')})
+    assert toxicity.score(clash, model).columns.count('score') == 1 and toxicity.without_toxic(clash, model).columns == clash.columns
 
 
 def test_classifier_without_labels(spark):

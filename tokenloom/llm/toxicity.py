@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tokenloom.llm.textual import MARKS, blocks, string_buffers, words_of
 
@@ -219,20 +220,21 @@ def fit(docs: DataFrame, labels: DataFrame, where: Column | None = None, size: i
     return train(sample["text"].tolist(), sample["toxic"].to_numpy(), sample["lang"].tolist())
 
 
+def _scores(model: Model, texts: pa.Array) -> np.ndarray:
+    offsets, data = string_buffers(texts.cast(pa.string()))
+    out = [model.score(model.raw(*word_rows(offsets[low : high + 1], data[offsets[low] : offsets[high]]))) for low, high in blocks(offsets, BLOCK_BYTES)]
+    return np.concatenate(out) if out else np.zeros(0)
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` with ``score`` of ``text`` after them; not for docs that have one."""
+    """All columns of ``docs`` with ``score`` of ``text`` after them, in place of one of that name."""
+    docs = docs.drop("score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            offsets, data = string_buffers(batch.column("text").cast(pa.string()))
-            out = []
-            for low, high in blocks(offsets, BLOCK_BYTES):
-                out.append(m.score(m.raw(*word_rows(offsets[low : high + 1], data[offsets[low] : offsets[high]]))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out) if out else np.zeros(0), type=pa.float64())], names=[*batch.schema.names, "score"])
-
-    from pyspark.sql.types import DoubleType, StructField, StructType
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_scores(m, batch.column("text")), type=pa.float64())], names=[*batch.schema.names, "score"])
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
 
@@ -243,3 +245,16 @@ def cut_of(model: Model, lang: Column) -> Column:
     for x, cut in model.cuts.items():
         cuts = F.when(lang == x, F.lit(cut)).otherwise(cuts)
     return cuts
+
+
+def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` whose score is below the cut of their language; all columns as they were."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            cuts = np.array([m.cuts.get(x, CUT) for x in batch.column("lang").to_pylist()], dtype=np.float64)
+            yield batch.filter(pa.array(_scores(m, batch.column("text")) < cuts, type=pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
