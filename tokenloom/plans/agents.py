@@ -73,7 +73,7 @@ def capture_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agents.captures(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"), "event_type", "event_id")
 
 
-@query("""WITH d(name, price) AS (VALUES ('view', 1.0), ('click:1', 2.0), ('signup', 3.0)) SELECT event_id AS id, coalesce(a.price, b.price) AS price FROM events LEFT JOIN d a ON a.name = event_type || ':' || event_id % 2 LEFT JOIN d b ON b.name = event_type""")
+@query("""WITH d(name, price) AS (VALUES ('view', 1.0), ('click:1', 2.0), ('signup', 3.0)) SELECT event_id AS id, CAST(coalesce(a.price, b.price) AS DOUBLE) AS price FROM events LEFT JOIN d a ON a.name = event_type || ':' || event_id % 2 LEFT JOIN d b ON b.name = event_type""")
 def first_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row 92."""
     e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "event_type")

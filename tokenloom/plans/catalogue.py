@@ -233,7 +233,7 @@ def frozen_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {MESSAGES}, s AS (SELECT conv_id, turn, tokens, CAST(coalesce(sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS BIGINT) AS suffix FROM messages)
-SELECT conv_id, turn, tokens, suffix, round(tokens // 2 * (1.25 + 0.1 * 4.0) - 0.5 * (1.25 - 0.1) * (suffix + tokens // 2), 6) AS gain, round((1.25 - 0.1) / 0.1 * suffix / nullif(tokens // 2, 0), 6) AS break_even FROM s""")
+SELECT conv_id, turn, tokens, suffix, round(tokens // 2 * CAST(1.65 AS DOUBLE) - CAST(0.575 AS DOUBLE) * (suffix + tokens // 2), 6) AS gain, round(CAST(11.5 AS DOUBLE) * suffix / nullif(tokens // 2, 0), 6) AS break_even FROM s""")
 def net_cost_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows 57, 59, 159."""
     s = sequences.suffix_tokens(messages(spark, sf_dir), "conv_id", "turn", "tokens")
