@@ -72,6 +72,20 @@ def test_near_duplicates(spark, near_rows):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in got) == brute(near_rows, 3, 85, 100)
 
 
+def test_large_family(spark):
+    """Copies with edits and losses of their own: many are too far from every centre and share common shingles only."""
+    rng = random.Random(1)
+    base, rows = prose(rng, 120).split(), []
+    for i in range(600):
+        head, tail = (0, 0) if i < 150 else (rng.randrange(0, 22), rng.randrange(0, 22))
+        w = base[head : len(base) - tail]
+        for _ in range(rng.randrange(0, 5)):
+            w[rng.randrange(len(w))] = f"edit{rng.randrange(10**9)}"
+        rows.append((i, " ".join(w)))
+    got = near_duplicates(frame(spark, rows), 3, (85, 100)).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in got) == brute(rows, 3, 85, 100)
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_duplicates(frame(spark, [])).count() == 0
 

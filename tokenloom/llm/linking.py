@@ -10,10 +10,11 @@ Buckets come from MinHash bands.  Work goes in rounds of one edge a member at mo
 3. What is still in different components is compared pair by pair: in buckets of ``HOT`` members at most all such pairs
    whose sizes leave the threshold possible.  Members of larger buckets meet where they share one of their
    rarest shingles (prefix filtering): each other where it has ``SHARED`` users at most, else the most central of its users.
+4. Where a shingle of over ``SHARED`` users is still in several components, all its users meet the ones outside its
+   largest component, in blocks whose pairs are compared by signature before any is written.
 
-All candidates are confirmed on full sets, so no false link is made.  A link between two components can be missed only
-if its ends are in buckets of more than ``HOT`` members, are both too far from every centre they were compared with, and
-all the rare shingles they share have over ``SHARED`` users.
+All candidates are confirmed on full sets, so no false link is made.  Every pair of a bucket whose ends stay in different
+components has been compared.
 """
 
 from __future__ import annotations
@@ -32,8 +33,10 @@ from tokenloom.llm.scratch import Scratch
 HOT = 32
 #: Tables are written by so many tasks and one more for each so many band keys.
 LEAST_TASKS, KEYS_A_TASK = 12, 1_000_000
-#: Users of a rare shingle beyond which they meet the most central of them only.
+#: Users of a rare shingle beyond which they meet the most central of them first, and the others in blocks.
 SHARED = 128
+#: Expected users of a shingle, and expected ones of them outside its largest component, in a block of pairs.
+SLAB, BLOCK = 4096, 1024
 
 
 def _agreement(minimum: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -102,20 +105,65 @@ def _explode_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays([batch.column("cid").take(pa.array(index)), batch.column("comp").take(pa.array(index)), batch.column("n").take(pa.array(index)), batch.column("weight").take(pa.array(index)), pa.array(np.concatenate(sets))], names=["cid", "comp", "n", "weight", "key"])
 
 
-def _rare_pairs(pool: DataFrame, ratio: tuple[int, int], scratch: Scratch, tasks: int) -> DataFrame:
-    """Candidates of different components in ``pool(cid, comp, n, weight, shingles)`` that share one of their rarest shingles.
+def _rare_shingles(pool: DataFrame, ratio: tuple[int, int], scratch: Scratch, tasks: int) -> DataFrame:
+    """The rarest shingles of ``pool(cid, comp, n, weight, shingles)`` that have several users, as ``key``.
 
     Two sets of similarity num/den must share one of the first n - ceil(n * num / den) + 1
-    shingles of each in any common order, here rarest first.  Users of a shingle meet each other where they are
-    ``SHARED`` at most, else the most central of them.
+    shingles of each in any common order, here rarest first.
     """
     num, den = ratio
     each = pool.mapInArrow(_explode_shingles, "cid binary, comp binary, n long, weight long, key long")
     counted = each.join(each.groupBy("key").agg(F.count("*").alias("uses")).where("uses > 1"), "key", "left")
     order = Window.partitionBy("cid").orderBy(F.coalesce("uses", F.lit(1)), "key")
     prefix = F.col("n") - F.ceil(F.col("n") * F.lit(num) / F.lit(den)) + 1
-    heads = scratch.save(counted.withColumn("place", F.row_number().over(order)).where((F.col("place") <= prefix) & (F.col("uses") > 1)), "rare-shingles", tasks)
-    return _meeting(heads.where(F.col("uses") <= SHARED), ratio).union(_to_centre(heads.where(F.col("uses") > SHARED)))
+    return scratch.save(counted.withColumn("place", F.row_number().over(order)).where((F.col("place") <= prefix) & (F.col("uses") > 1)), "rare-shingles", tasks)
+
+
+def _close(numerator: int, denominator: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Pairs of a block that are in different components and may be similar, each under the first key they share."""
+
+    def pairs(users: pa.Table, outside: pa.Table) -> pa.Table:
+        users, outside = users.combine_chunks(), outside.combine_chunks()
+        found_a, found_b = [], []
+        if len(users) and len(outside):
+            key = users["key"][0].as_py()
+            sig_a, sig_b = (_matrix(t["sig"].chunk(0)) for t in (users, outside))
+            n_a, n_b = (t["n"].to_numpy() for t in (users, outside))
+            names = pa.concat_arrays([users["comp"].chunk(0), outside["comp"].chunk(0)]).dictionary_encode().indices.to_numpy()
+            comp_a, comp_b = names[: len(users)], names[len(users) :]
+            main, cid_a, cid_b = users["comp_is_main"].to_numpy(), users["cid"].to_pylist(), outside["cid"].to_pylist()
+            before_a, before_b = ([{k for k in keys if k < key} for keys in t["keys"].to_pylist()] for t in (users, outside))
+            for j in range(len(outside)):
+                fits = denominator * np.minimum(n_a, n_b[j]) >= numerator * np.maximum(n_a, n_b[j])
+                rows = np.flatnonzero(fits & (comp_a != comp_b[j]))
+                rows = rows[(sig_a[rows] == sig_b[j]).mean(axis=1) >= numerator / denominator - 0.23]
+                for i in rows.tolist():
+                    # two users outside meet twice
+                    if (main[i] or cid_a[i] < cid_b[j]) and before_a[i].isdisjoint(before_b[j]):
+                        found_a.append(cid_a[i])
+                        found_b.append(cid_b[j])
+        return pa.table({"a": pa.array(found_a, type=pa.binary()), "b": pa.array(found_b, type=pa.binary())})
+
+    return pairs
+
+
+def _block_pairs(heads: DataFrame, roots: DataFrame, sets: DataFrame, ratio: tuple[int, int], scratch: Scratch, tasks: int) -> DataFrame:
+    """All candidates of different components that share a key of ``heads(key, cid, n)``, without a row for every pair.
+
+    Users outside a key's largest component are dealt into blocks and all its users into slabs; a task compares
+    a slab with a block.
+    """
+    placed = scratch.save(heads.join(roots.withColumnRenamed("id", "cid"), "cid", "left").select("key", "cid", "n", F.coalesce("root", "cid").alias("comp")), "crowded-shingles", tasks)
+    parts = placed.groupBy("key", "comp").agg(F.count("*").alias("users"))
+    split = parts.groupBy("key").agg(F.sum("users").alias("users"), F.max(F.struct("users", "comp")).alias("main")).where(F.col("users") > F.col("main.users"))
+    split = split.select("key", F.col("main.comp").alias("main"), F.ceil(F.col("users") / SLAB).alias("slabs"), F.ceil((F.col("users") - F.col("main.users")) / BLOCK).alias("blocks"))
+    placed = placed.join(split, "key")
+    each = placed.groupBy("cid").agg(F.collect_list("key").alias("keys")).join(sets.select("cid", "sig"), "cid")
+    rows = scratch.save(placed.join(each, "cid").withColumn("comp_is_main", F.col("comp") == F.col("main")).drop("main"), "open-shingles", tasks)
+    users = rows.withColumn("slab", F.pmod(F.xxhash64("cid"), "slabs")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    outside = rows.where("NOT comp_is_main").withColumn("block", F.pmod(F.xxhash64("cid"), "blocks")).withColumn("slab", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slabs") - 1)))
+    by = ("key", "slab", "block")
+    return users.groupBy(*by).cogroup(outside.groupBy(*by)).applyInArrow(_close(*ratio), "a binary, b binary")
 
 
 def _meeting(placed: DataFrame, ratio: tuple[int, int]) -> DataFrame:
@@ -181,8 +229,17 @@ def link(keys: DataFrame, sets_of: Callable[[DataFrame], DataFrame], ratio: tupl
     pool = many.join(sets.select("cid", "n", "shingles"), "cid")
     pairs = _meeting(rest.where(F.col("members") <= HOT), ratio)
     tried = _both_ways(star.union(again))
-    pairs = scratch.save(pairs.union(_rare_pairs(pool, ratio, scratch, tasks)).distinct().join(tried, ["a", "b"], "left_anti"), "pairs", tasks)
+    heads = _rare_shingles(pool, ratio, scratch, tasks)
+    few, crowd = heads.where(F.col("uses") <= SHARED), heads.where(F.col("uses") > SHARED)
+    pairs = scratch.save(pairs.union(_meeting(few, ratio)).union(_to_centre(crowd)).distinct().join(tried, ["a", "b"], "left_anti"), "pairs", tasks)
     more = _links(pairs, sets, ratio, scratch, "more-links", tasks)
     if more.limit(1).count():
         roots = connected_components(_as_edges(roots).union(more), scratch)
+
+    if crowd.limit(1).count():
+        tried = _both_ways(star.union(again).union(pairs))
+        pairs = scratch.save(_block_pairs(crowd, roots, sets, ratio, scratch, tasks).join(tried, ["a", "b"], "left_anti"), "block-pairs", tasks)
+        more = _links(pairs, sets, ratio, scratch, "block-links", tasks)
+        if more.limit(1).count():
+            roots = connected_components(_as_edges(roots).union(more), scratch)
     return roots
