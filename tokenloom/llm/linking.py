@@ -19,6 +19,7 @@ components has been compared.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -39,11 +40,21 @@ SHARED = 128
 SLAB, BLOCK = 4096, 1024
 
 
-def _agreement(minimum: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _least_agreement(size: int, numerator: int, denominator: int) -> int:
+    """Of ``size`` independent coordinates a pair at the threshold has fewer in common than this once in 1e9 at most."""
+    p, tail = numerator / denominator, 0.0
+    for n in range(size):
+        tail += math.comb(size, n) * p**n * (1 - p) ** (size - n)
+        if tail > 1e-9:
+            return n
+    return size
+
+
+def _agreement(numerator: int, denominator: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (_matrix(batch.column(c)) for c in ("sig_a", "sig_b"))
-            mask = (a == b).mean(axis=1) >= minimum if len(a) else np.zeros(0, dtype=bool)
+            mask = (a == b).sum(axis=1) >= _least_agreement(a.shape[1], numerator, denominator) if len(a) else np.zeros(0, dtype=bool)
             yield batch.select(["a", "b"]).filter(pa.array(mask))
 
     return keep
@@ -76,8 +87,8 @@ def _confirm(numerator: int, denominator: int) -> Callable[[Iterator[pa.RecordBa
 def _links(edges: DataFrame, sets: DataFrame, ratio: tuple[int, int], scratch: Scratch, name: str, tasks: int) -> DataFrame:
     """The confirmed ones of candidate ``edges(a, b)``.
 
-    Signatures are compared first, for they are a fiftieth of the sets' bytes.  A pair at the
-    threshold falls 6 deviations short of the agreement asked for, one in 1e9.
+    Signatures are compared first, for they are a fiftieth of the sets' bytes.  The agreement asked for depends on
+    their length, so that a pair at the threshold falls short of it once in 1e9 whatever it is.
     """
     num, den = ratio
     size = den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b")
@@ -87,7 +98,7 @@ def _links(edges: DataFrame, sets: DataFrame, ratio: tuple[int, int], scratch: S
         .join(short.select(F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a")), "a")
         .where(size)
         .select("a", "b", "sig_a", "sig_b")
-        .mapInArrow(_agreement(num / den - 0.23), edges.select("a", "b").schema)
+        .mapInArrow(_agreement(num, den), edges.select("a", "b").schema)
     )
     both = (
         near.join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("set_b")), "b")
@@ -133,10 +144,11 @@ def _close(numerator: int, denominator: int) -> Callable[[pa.Table, pa.Table], p
             comp_a, comp_b = names[: len(users)], names[len(users) :]
             main, cid_a, cid_b = users["comp_is_main"].to_numpy(), users["cid"].to_pylist(), outside["cid"].to_pylist()
             before_a, before_b = ([{k for k in keys if k < key} for keys in t["keys"].to_pylist()] for t in (users, outside))
+            least = _least_agreement(sig_a.shape[1], numerator, denominator)
             for j in range(len(outside)):
                 fits = denominator * np.minimum(n_a, n_b[j]) >= numerator * np.maximum(n_a, n_b[j])
                 rows = np.flatnonzero(fits & (comp_a != comp_b[j]))
-                rows = rows[(sig_a[rows] == sig_b[j]).mean(axis=1) >= numerator / denominator - 0.23]
+                rows = rows[(sig_a[rows] == sig_b[j]).sum(axis=1) >= least]
                 for i in rows.tolist():
                     # two users outside meet twice
                     if (main[i] or cid_a[i] < cid_b[j]) and before_a[i].isdisjoint(before_b[j]):
