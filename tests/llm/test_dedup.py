@@ -189,3 +189,20 @@ def test_passages(spark):
         assert sum(passage in texts[d] for d in range(p * 3, p * 3 + 3)) == 1
     assert all(texts[d] == rows[d][1] for d in [*range(36, 41), *range(43, 60)])
     assert repeats(frame(spark, [])).count() == 0 and without_repeats(frame(spark, [])).count() == 0
+
+
+def test_passages_are_whole_repeats(spark):
+    """Common short lines in an order of their own are no passage; the same lines in the same order are."""
+    rng = random.Random(5)
+    common = [prose(rng, rng.randrange(2, 8)) for _ in range(60)]
+    rows = [(i, "\n".join(rng.sample(common, 30))) for i in range(40)]
+    same = "\n".join(rng.sample(common, 20))
+    rows += [(i, prose(rng, 40) + "\n" + same + "\n" + prose(rng, 40)) for i in (100, 101, 102)]
+    docs = frame(spark, rows)
+    found = repeats(docs).collect()
+    assert {(r.doc_id, r.removed, r.component_id) for r in found} == {(100, False, 100), (101, True, 100), (102, True, 100)}
+    for r in found:  # less some words at either end
+        part = dict(rows)[r.doc_id].encode()[r.start : r.end].decode()
+        assert part.strip() in same and len(part.split()) == r.words >= len(same.split()) - 14
+    texts = {r.doc_id: r.text for r in without_repeats(docs).collect()}
+    assert all(texts[i] == t for i, t in rows if i not in (101, 102))

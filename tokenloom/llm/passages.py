@@ -30,7 +30,7 @@ from tokenloom.llm.minhash import band_keys, signatures
 from tokenloom.llm.scratch import Scratch
 from tokenloom.llm.textual import Words, blocks, mix, string_buffers, windows, words_of
 
-#: Words of a paragraph, or of a run of pieces, from which a repeat counts.
+#: Words of a paragraph, or of a stretch of pieces, from which a repeat counts.
 LEAST = 27
 SHINGLE, BANDS, ROWS = 5, 10, 2
 #: Words on either side among which a cut has the least hash.
@@ -156,16 +156,34 @@ def _paragraph_sets(table):
     return run
 
 
+def _stretches(words: Words) -> _Spans:
+    """For each piece the fewest pieces from it on that have ``LEAST`` words together, where its text has so many."""
+    spans = _Spans(words, True)
+    ends = np.searchsorted(spans.last, spans.first + LEAST)
+    kept = np.flatnonzero(ends < len(spans.last))
+    kept = kept[spans.text[ends[kept]] == spans.text[kept]]
+    ends = ends[kept]
+    spans.high, spans.last = spans.high[ends], spans.last[ends]
+    spans.first, spans.text, spans.low = spans.first[kept], spans.text[kept], spans.low[kept]
+    spans.size = spans.last - spans.first
+    return spans
+
+
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for doc_id, words in _each(batches):
-        spans = _Spans(words, True)
-        yield pa.RecordBatch.from_arrays([pa.array(spans.ids()[:, 0].view(np.int64)), doc_id.take(pa.array(spans.text)), pa.array(_tags(words)[spans.text] + spans.low), pa.array((spans.high - spans.low).astype(np.int32)), pa.array(spans.size.astype(np.int32))], names=["piece", "doc_id", "place", "bytes", "words"])
+        spans = _stretches(words)
+        # words before the stretch: what overlapping ones have together is a difference
+        at = spans.first - words.first[spans.text]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(spans.ids()[:, 0].view(np.int64)), doc_id.take(pa.array(spans.text)), pa.array(_tags(words)[spans.text] + spans.low), pa.array((spans.high - spans.low).astype(np.int32)), pa.array(spans.size.astype(np.int32)), pa.array(at.astype(np.int32))],
+            names=["piece", "doc_id", "place", "bytes", "words", "at"],
+        )
 
 
 def _piece_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pieces of each block of texts, a piece once with whether the block repeats it."""
+    """The stretches of each block of texts, one once with whether the block repeats it."""
     for _, words in _each(batches):
-        ids, n = np.unique(_Spans(words, True).ids()[:, 0].view(np.int64), return_counts=True)
+        ids, n = np.unique(_stretches(words).ids()[:, 0].view(np.int64), return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n)], names=["piece", "n"])
 
 
@@ -189,20 +207,21 @@ def repeated_paragraphs(texts: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def repeated_passages(texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """The same columns for runs of pieces that occur in several places."""
+    """The same columns for runs of overlapping stretches, each of which occurs in several places."""
     counts = texts.mapInArrow(_piece_ids, "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n"))
     twice = counts.where("n > 1").select("piece")
-    shared = scratch.save(texts.mapInArrow(_pieces, "piece long, doc_id long, place long, bytes int, words int").join(twice, "piece"), "shared-pieces")
+    shared = scratch.save(texts.mapInArrow(_pieces, "piece long, doc_id long, place long, bytes int, words int, at int").join(twice, "piece"), "shared-pieces")
     heads = shared.groupBy("piece").agg(F.min(F.struct("doc_id", "place")).alias("head"), F.max(F.struct("doc_id", "place")).alias("tail")).where("head != tail").select("piece", "head")
     flagged = shared.join(heads, "piece").withColumn("removed", (F.col("doc_id") != F.col("head.doc_id")) | (F.col("place") != F.col("head.place")))
-    flagged = flagged.select("doc_id", "place", "bytes", "words", F.col("head.doc_id").alias("first"), "removed")
+    flagged = flagged.select("doc_id", "place", "bytes", "words", "at", F.col("head.doc_id").alias("first"), "removed")
     one = Window.partitionBy("doc_id", F.shiftright("place", PLACE_BITS), "removed").orderBy("place")
-    broken = F.coalesce(F.lag(F.col("place") + F.col("bytes")).over(one) != F.col("place"), F.lit(True))
+    end = F.max(F.col("place") + F.col("bytes")).over(one.rowsBetween(Window.unboundedPreceding, -1))
+    broken = F.coalesce(end < F.col("place"), F.lit(True))
     runs = flagged.withColumn("broken", broken.cast("int")).withColumn("run", F.sum("broken").over(one))
     spans = runs.groupBy("doc_id", F.shiftright("place", PLACE_BITS).alias("tag"), "removed", "run").agg(
-        F.min("place").alias("place"), (F.max(F.col("place") + F.col("bytes")) - F.min("place")).cast("int").alias("bytes"), F.sum("words").cast("int").alias("words"), F.min("first").alias("component_id")
+        F.min("place").alias("place"), (F.max(F.col("place") + F.col("bytes")) - F.min("place")).cast("int").alias("bytes"), (F.max(F.col("at") + F.col("words")) - F.min("at")).cast("int").alias("words"), F.min("first").alias("component_id")
     )
-    return spans.where(F.col("words") >= LEAST).select("doc_id", "place", "bytes", "words", "component_id", "removed")
+    return spans.select("doc_id", "place", "bytes", "words", "component_id", "removed")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
