@@ -12,7 +12,7 @@ import pytest
 from tokenloom.llm.decontaminate import clean, contaminated, tile
 from tokenloom.llm.minhash import band_keys, signatures
 from tokenloom.llm.near_dedup import near_duplicates
-from tokenloom.llm.passages import repeats, without_repeats
+from tokenloom.llm.passages import BANDS, ROWS, repeats, without_repeats
 from tokenloom.llm.textual import string_buffers, windows, words_of
 
 SCHEMA = "doc_id long, text string, cid string, key string, score string"
@@ -151,7 +151,7 @@ def test_paragraphs_at_the_threshold(spark):
         rows.append((2 * g, " ".join(w)))
         w[19], w[60] = "edita", "editb"  # 90 shingles of 110 in common
         rows.append((2 * g + 1, " ".join(w)))
-    keys = {d: set(band_keys(signatures(x := np.unique(windows(words_of(*string_buffers(pa.array([t]))).hashes, 5)), np.array([0, len(x)]), 20), 10, 2)[0].tolist()) for d, t in rows}
+    keys = {d: set(band_keys(signatures(x := np.unique(windows(words_of(*string_buffers(pa.array([t]))).hashes, 5)), np.array([0, len(x)]), BANDS * ROWS), BANDS, ROWS)[0].tolist()) for d, t in rows}
     want = {g for g in range(groups) if keys[2 * g] & keys[2 * g + 1]}
     got = {r.doc_id // 2 for r in repeats(frame(spark, rows)).collect() if r.kind == "paragraph" and r.removed}
     assert got == want

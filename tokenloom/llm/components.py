@@ -32,7 +32,7 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         new = scratch.save(step, "labels", tasks)
         changed = new.where("root != was").limit(1).count()
         scratch.delete(labels)
-        labels = new.select("id", "root")
+        labels = new
         if not changed:
             scratch.delete(both)
-            return labels
+            return labels.select("id", "root")

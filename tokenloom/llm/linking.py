@@ -1,20 +1,17 @@
 """Confirmed links between sets that share a bucket, without emitting all pairs of a bucket.
 
-Buckets come from MinHash bands.  Work goes in rounds of one edge a member at most:
+Buckets come from MinHash bands.
 
 1. Every member of a bucket is compared with the bucket's centre, the member that collides most over all its
    buckets.  Copies with edits of their own lie around the text they were made from: where two of them are
    similar enough, either is similar enough to the one with the fewest edits.  Confirmed links make components.
-2. Buckets whose members are by then all in one component cannot add anything.  In the others the members outside the
-   centre's component are compared with the most central one of themselves.
-3. What is still in different components is compared pair by pair: in buckets of ``HOT`` members at most all such pairs
-   whose sizes leave the threshold possible.  Members of larger buckets meet where they share one of their
-   rarest shingles (prefix filtering): each other where it has ``SHARED`` users at most, else the most central of its users.
-4. Where a shingle of over ``SHARED`` users is still in several components, all its users meet the ones outside its
-   largest component, in blocks whose pairs are compared by signature before any is written.
+2. Buckets whose members are by then all in one component cannot add anything.  In the others every pair of
+   different components whose sizes leave the threshold possible is compared: as rows in buckets of ``HOT`` members
+   at most, else inside tasks, where slabs of all members meet blocks of those outside the bucket's largest component and
+   only links that join components leave the task.
 
 All candidates are confirmed on full sets, so no false link is made.  Every pair of a bucket whose ends stay in different
-components has been compared.
+components has been compared, whatever the size of the bucket.
 """
 
 from __future__ import annotations
@@ -24,20 +21,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.llm.components import connected_components
 from tokenloom.llm.scratch import Scratch
 
-#: Members of a bucket beyond which candidates come from centres and rare shingles.
+#: Members of a bucket beyond which they are compared inside tasks and not as rows.
 HOT = 32
 #: Tables are written by so many tasks and one more for each so many band keys.
 LEAST_TASKS, KEYS_A_TASK = 12, 1_000_000
-#: Users of a rare shingle beyond which they meet the most central of them first, and the others in blocks.
-SHARED = 128
-#: Expected users of a shingle, and expected ones of them outside its largest component, in a block of pairs.
-SLAB, BLOCK = 4096, 1024
+#: Expected members of a bucket, expected ones of them outside its largest component, and shingles of either that meet in a task.
+SLAB, BLOCK, SHINGLES = 4096, 1024, 4_000_000
 
 
 def _least_agreement(size: int, numerator: int, denominator: int) -> int:
@@ -108,50 +103,49 @@ def _links(edges: DataFrame, sets: DataFrame, ratio: tuple[int, int], scratch: S
     return scratch.save(both.mapInArrow(_confirm(num, den), edges.select("a", "b").schema), name, tasks)
 
 
-def _explode_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [np.frombuffer(x.as_buffer(), dtype=np.int64) for x in batch.column("shingles")]
-        if sets:
-            index = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-            yield pa.RecordBatch.from_arrays([batch.column("cid").take(pa.array(index)), batch.column("comp").take(pa.array(index)), batch.column("n").take(pa.array(index)), batch.column("weight").take(pa.array(index)), pa.array(np.concatenate(sets))], names=["cid", "comp", "n", "weight", "key"])
-
-
-def _rare_shingles(pool: DataFrame, ratio: tuple[int, int], scratch: Scratch, tasks: int) -> DataFrame:
-    """The rarest shingles of ``pool(cid, comp, n, weight, shingles)`` that have several users, as ``key``.
+def _close(numerator: int, denominator: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Links between the users of a block and those outside its bucket's largest component: a spanning forest of them.
 
-    Two sets of similarity num/den must share one of the first n - ceil(n * num / den) + 1
-    shingles of each in any common order, here rarest first.
+    Every pair of different components is compared on full sets in the first bucket that it shares, unless the sizes, the
+    signatures or links found before it in this block make that needless.
     """
-    num, den = ratio
-    each = pool.mapInArrow(_explode_shingles, "cid binary, comp binary, n long, weight long, key long")
-    counted = each.join(each.groupBy("key").agg(F.count("*").alias("uses")).where("uses > 1"), "key", "left")
-    order = Window.partitionBy("cid").orderBy(F.coalesce("uses", F.lit(1)), "key")
-    prefix = F.col("n") - F.ceil(F.col("n") * F.lit(num) / F.lit(den)) + 1
-    return scratch.save(counted.withColumn("place", F.row_number().over(order)).where((F.col("place") <= prefix) & (F.col("uses") > 1)), "rare-shingles", tasks)
-
-
-def _close(numerator: int, denominator: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """Pairs of a block that are in different components and may be similar, each under the first key they share."""
 
     def pairs(users: pa.Table, outside: pa.Table) -> pa.Table:
         users, outside = users.combine_chunks(), outside.combine_chunks()
-        found_a, found_b = [], []
+        found_a: list[bytes] = []
+        found_b: list[bytes] = []
         if len(users) and len(outside):
-            key = users["key"][0].as_py()
+            band = users["band"][0].as_py()
             sig_a, sig_b = (_matrix(t["sig"].chunk(0)) for t in (users, outside))
+            keys_a, keys_b = (np.array(t["keys"].chunk(0).flatten()).reshape(len(t), -1)[:, :band] for t in (users, outside))
             n_a, n_b = (t["n"].to_numpy() for t in (users, outside))
-            names = pa.concat_arrays([users["comp"].chunk(0), outside["comp"].chunk(0)]).dictionary_encode().indices.to_numpy()
-            comp_a, comp_b = names[: len(users)], names[len(users) :]
+            comps = pa.concat_arrays([users["comp"].chunk(0), outside["comp"].chunk(0)]).dictionary_encode().indices.to_numpy()
+            label = np.arange(comps.max() + 1)
+            comp_a, comp_b = comps[: len(users)], comps[len(users) :]
             main, cid_a, cid_b = users["comp_is_main"].to_numpy(), users["cid"].to_pylist(), outside["cid"].to_pylist()
-            before_a, before_b = ([{k for k in keys if k < key} for keys in t["keys"].to_pylist()] for t in (users, outside))
+            order = {c: i for i, c in enumerate(sorted({*cid_a, *cid_b}))}
+            rank_a, rank_b = (np.array([order[c] for c in x]) for x in (cid_a, cid_b))
             least = _least_agreement(sig_a.shape[1], numerator, denominator)
-            for j in range(len(outside)):
+            values = np.concatenate([np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in users["shingles"].chunk(0)])
+            owner = np.repeat(np.arange(len(users)), n_a)
+            by = np.argsort(values, kind="stable")
+            owner, (values, begin, uses) = owner[by], np.unique(values[by], return_index=True, return_counts=True)
+            for j, own in enumerate(outside["shingles"].chunk(0)):
                 fits = denominator * np.minimum(n_a, n_b[j]) >= numerator * np.maximum(n_a, n_b[j])
-                rows = np.flatnonzero(fits & (comp_a != comp_b[j]))
+                rows = np.flatnonzero(fits & (label[comp_a] != label[comp_b[j]]) & (main | (rank_a < rank_b[j])))  # two users outside meet twice
                 rows = rows[(sig_a[rows] == sig_b[j]).sum(axis=1) >= least]
-                for i in rows.tolist():
-                    # two users outside meet twice
-                    if (main[i] or cid_a[i] < cid_b[j]) and before_a[i].isdisjoint(before_b[j]):
+                rows = rows[~(keys_a[rows] == keys_b[j]).any(axis=1)]
+                if not len(rows):
+                    continue
+                asked = np.frombuffer(own.as_buffer(), dtype=np.uint64)
+                place = np.minimum(np.searchsorted(values, asked), len(values) - 1)
+                place = place[values[place] == asked]
+                n = uses[place]
+                at = np.arange(n.sum()) + np.repeat(begin[place] - (np.cumsum(n) - n), n)
+                shared = np.bincount(owner[at], minlength=len(users))[rows]
+                for i in rows[denominator * shared >= numerator * (n_a[rows] + n_b[j] - shared)].tolist():
+                    if label[comp_a[i]] != label[comp_b[j]]:
+                        label[label == label[comp_a[i]]] = label[comp_b[j]]
                         found_a.append(cid_a[i])
                         found_b.append(cid_b[j])
         return pa.table({"a": pa.array(found_a, type=pa.binary()), "b": pa.array(found_b, type=pa.binary())})
@@ -159,19 +153,19 @@ def _close(numerator: int, denominator: int) -> Callable[[pa.Table, pa.Table], p
     return pairs
 
 
-def _block_pairs(heads: DataFrame, roots: DataFrame, sets: DataFrame, ratio: tuple[int, int], scratch: Scratch, tasks: int) -> DataFrame:
-    """All candidates of different components that share a key of ``heads(key, cid, n)``, without a row for every pair.
+def _block_links(crowded: DataFrame, sets: DataFrame, keys: DataFrame, ratio: tuple[int, int], scratch: Scratch, tasks: int) -> DataFrame:
+    """Links between the components of the buckets in ``crowded(key, cid, comp, n)``, without a row for every pair.
 
-    Users outside a key's largest component are dealt into blocks and all its users into slabs; a task compares
+    Users outside a bucket's largest component are dealt into blocks and all its users into slabs; a task compares
     a slab with a block.
     """
-    placed = scratch.save(heads.join(roots.withColumnRenamed("id", "cid"), "cid", "left").select("key", "cid", "n", F.coalesce("root", "cid").alias("comp")), "crowded-shingles", tasks)
-    parts = placed.groupBy("key", "comp").agg(F.count("*").alias("users"))
-    split = parts.groupBy("key").agg(F.sum("users").alias("users"), F.max(F.struct("users", "comp")).alias("main")).where(F.col("users") > F.col("main.users"))
-    split = split.select("key", F.col("main.comp").alias("main"), F.ceil(F.col("users") / SLAB).alias("slabs"), F.ceil((F.col("users") - F.col("main.users")) / BLOCK).alias("blocks"))
-    placed = placed.join(split, "key")
-    each = placed.groupBy("cid").agg(F.collect_list("key").alias("keys")).join(sets.select("cid", "sig"), "cid")
-    rows = scratch.save(placed.join(each, "cid").withColumn("comp_is_main", F.col("comp") == F.col("main")).drop("main"), "open-shingles", tasks)
+    parts = crowded.groupBy("key", "comp").agg(F.count("*").alias("users"), F.sum("n").alias("n"))
+    whole = parts.groupBy("key").agg(F.max(F.struct("users", "comp")).alias("main"), *(F.sum(x).alias(x) for x in ("users", "n")), F.max(F.struct("users", "comp", "n")).alias("most"))
+    share = lambda users, n, size: F.greatest(F.lit(1), F.ceil(users / size), F.ceil(n / SHINGLES))
+    split = whole.select("key", F.col("main.comp").alias("main"), share(F.col("users"), F.col("n"), SLAB).alias("slabs"), share(F.col("users") - F.col("main.users"), F.col("n") - F.col("most.n"), BLOCK).alias("blocks"))
+    placed = crowded.join(split, "key").withColumn("comp_is_main", F.col("comp") == F.col("main")).drop("main", "n", "members", "weight")
+    rows = placed.join(keys, "cid").withColumn("band", F.array_position("keys", F.col("key")).cast("int") - 1).join(sets, "cid")
+    rows = scratch.save(rows, "crowded-buckets", tasks)
     users = rows.withColumn("slab", F.pmod(F.xxhash64("cid"), "slabs")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     outside = rows.where("NOT comp_is_main").withColumn("block", F.pmod(F.xxhash64("cid"), "blocks")).withColumn("slab", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slabs") - 1)))
     by = ("key", "slab", "block")
@@ -204,11 +198,6 @@ def _to_centre(placed: DataFrame) -> DataFrame:
     return placed.join(_centres(placed), "key").where("comp != centre_comp").select(F.col("centre").alias("a"), F.col("cid").alias("b")).distinct()
 
 
-def _outside(placed: DataFrame) -> DataFrame:
-    """The members that aren't in the component of their bucket's centre."""
-    return placed.join(_centres(placed), "key").where("comp != centre_comp").drop("centre", "centre_comp")
-
-
 def _open(shared: DataFrame, roots: DataFrame) -> DataFrame:
     """Buckets with more than one component, each member with its own."""
     placed = shared.join(roots.withColumnRenamed("id", "cid"), "cid", "left").select("key", "cid", "members", "weight", F.coalesce("root", "cid").alias("comp"))
@@ -217,41 +206,30 @@ def _open(shared: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def link(keys: DataFrame, sets_of: Callable[[DataFrame], DataFrame], ratio: tuple[int, int], scratch: Scratch) -> DataFrame:
-    """``keys(key, cid)`` -> ``(id, root)`` for every cid that has a link.
+    """``keys(cid, keys)``, an array of band keys for each cid -> ``(id, root)`` for every cid that has a link.
 
     ``sets_of`` turns a table of cids into ``(cid, n, sig, shingles)``, shingles being sorted
     64-bit values as bytes.  ``ratio`` is the similarity as a fraction of whole numbers.
     """
-    tasks = LEAST_TASKS + keys.count() // KEYS_A_TASK
-    sizes = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    shared = keys.join(sizes, "key")
+    each = keys.select(F.explode("keys").alias("key"), "cid")
+    tasks = LEAST_TASKS + each.count() // KEYS_A_TASK
+    sizes = each.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    shared = each.join(sizes, "key")
     central = shared.groupBy("cid").agg(F.sum("members").alias("weight"))
     shared = scratch.save(shared.join(central, "cid"), "shared-buckets", tasks)
     sets = scratch.save(sets_of(shared.select("cid").distinct()), "sets", tasks)
     star = scratch.save(_to_centre(shared.withColumn("comp", F.col("cid"))), "star", tasks)
-    roots = connected_components(_links(star, sets, ratio, scratch, "star-links", tasks), scratch)
-
-    again = scratch.save(_to_centre(_outside(_open(shared, roots))).join(_both_ways(star), ["a", "b"], "left_anti"), "second-star", tasks)
-    more = _links(again, sets, ratio, scratch, "second-links", tasks)
-    if more.limit(1).count():
-        roots = connected_components(_as_edges(roots).union(more), scratch)
+    links = _links(star, sets, ratio, scratch, "star-links", tasks)
+    roots = connected_components(links, scratch)
 
     rest = scratch.save(_open(shared, roots).join(sets.select("cid", "n"), "cid"), "open-buckets", tasks)
-    many = rest.where(F.col("members") > HOT).select("cid", "comp", "weight").distinct()
-    pool = many.join(sets.select("cid", "n", "shingles"), "cid")
-    pairs = _meeting(rest.where(F.col("members") <= HOT), ratio)
-    tried = _both_ways(star.union(again))
-    heads = _rare_shingles(pool, ratio, scratch, tasks)
-    few, crowd = heads.where(F.col("uses") <= SHARED), heads.where(F.col("uses") > SHARED)
-    pairs = scratch.save(pairs.union(_meeting(few, ratio)).union(_to_centre(crowd)).distinct().join(tried, ["a", "b"], "left_anti"), "pairs", tasks)
+    scratch.delete(shared)
+    pairs = scratch.save(_meeting(rest.where(F.col("members") <= HOT), ratio).join(_both_ways(star), ["a", "b"], "left_anti"), "pairs", tasks)
     more = _links(pairs, sets, ratio, scratch, "more-links", tasks)
+    crowded = rest.where(F.col("members") > HOT)
+    if crowded.limit(1).count():
+        more = more.union(scratch.save(_block_links(crowded, sets, keys, ratio, scratch, tasks), "block-links", tasks))
     if more.limit(1).count():
         roots = connected_components(_as_edges(roots).union(more), scratch)
-
-    if crowd.limit(1).count():
-        tried = _both_ways(star.union(again).union(pairs))
-        pairs = scratch.save(_block_pairs(crowd, roots, sets, ratio, scratch, tasks).join(tried, ["a", "b"], "left_anti"), "block-pairs", tasks)
-        more = _links(pairs, sets, ratio, scratch, "block-links", tasks)
-        if more.limit(1).count():
-            roots = connected_components(_as_edges(roots).union(more), scratch)
+    scratch.delete(sets, star, links, rest, pairs)
     return roots

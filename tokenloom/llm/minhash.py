@@ -17,11 +17,13 @@ _TABLES: list[np.ndarray] = []
 
 
 def permutations() -> tuple[np.ndarray, np.ndarray]:
-    """SIGMA and PI, made once in each process from a fixed seed."""
+    """SIGMA, and PI twice in a row, made once in each process from a fixed seed."""
     if not _TABLES:
         rng = np.random.Generator(np.random.PCG64(_SEED))
         for _ in range(2):
             _TABLES.append(rng.permutation(1 << UNIVERSE_BITS).astype(np.uint32))
+        _TABLES[0] = _TABLES[0].astype(np.int64)
+        _TABLES[1] = np.concatenate([_TABLES[1], _TABLES[1]])  # its second half makes every shift a view
     return _TABLES[0], _TABLES[1]
 
 
@@ -29,10 +31,11 @@ def signatures(values: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
     """``size`` coordinates for each set; ``first`` cuts ``values`` into sets, none of them empty."""
     sigma, pi = permutations()
     at = sigma[(values >> np.uint64(64 - UNIVERSE_BITS)).astype(np.int64)]
-    mask = np.uint32((1 << UNIVERSE_BITS) - 1)
     out = np.empty((len(first) - 1, size), dtype=np.uint32)
+    moved = np.empty(len(at), dtype=np.uint32)
     for k in range(size):
-        out[:, k] = np.minimum.reduceat(pi[(at + np.uint32(k)) & mask], first[:-1])
+        np.take(pi[k : k + (1 << UNIVERSE_BITS)], at, out=moved, mode="clip")
+        out[:, k] = np.minimum.reduceat(moved, first[:-1])
     return out
 
 

@@ -86,13 +86,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, ratio: tuple[int, int] = (4
     profiles = scratch.save(texts.mapInArrow(_profile(words, bands, rows), "doc_id long, n long, cid binary, keys array<long>"), "profiles")
     known = profiles.where("doc_id IS NOT NULL AND cid IS NOT NULL")
     classes = scratch.save(known.groupBy("cid").agg(F.min(F.struct("doc_id", "n", "keys")).alias("r")).select("cid", "r.doc_id", "r.n", "r.keys"), "classes")
-    keys = classes.select(F.explode("keys").alias("key"), "cid")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         owners = wanted.join(classes.select("cid", "doc_id"), "cid")
         return owners.join(texts, "doc_id").select("text", "cid").mapInArrow(_full_sets(words, bands, rows), "cid binary, n long, sig binary, shingles binary").dropDuplicates(["cid"])
 
-    roots = link(keys, sets_of, ratio, scratch).withColumnRenamed("id", "cid")
+    roots = link(classes.select("cid", "keys"), sets_of, ratio, scratch).withColumnRenamed("id", "cid")
     named = classes.select("cid", "doc_id").join(roots, "cid", "left").select("cid", "doc_id", F.coalesce("root", "cid").alias("root"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     names = named.join(least, "root").select("cid", "component_id")

@@ -1,7 +1,7 @@
 """Repeated paragraphs and passages: paragraph MinHash, exact Jaccard, components; anchored pieces inside paragraphs.
 
-Paragraphs are lines of at least ``LEAST`` words.  Ten bands of two MinHash values of their five-word shingles (a pair at
-similarity 0.8 shares none once in 3e4) make buckets, and ``linking`` confirms the colliding ones on exact Jaccard
+Paragraphs are lines of at least ``LEAST`` words.  Twelve bands of three MinHash values of their five-word shingles (a pair at
+similarity 0.8 shares none once in 5,500) make buckets, and ``linking`` confirms the colliding ones on exact Jaccard
 similarity and joins them into components.  Of a component's occurrences the first by (doc_id, place) stays.
 
 A passage inside longer paragraphs makes none of them similar.  So lines are also cut into pieces wherever the hash of
@@ -32,7 +32,7 @@ from tokenloom.llm.textual import Words, blocks, mix, string_buffers, windows, w
 
 #: Words of a paragraph, or of a stretch of pieces, from which a repeat counts.
 LEAST = 27
-SHINGLE, BANDS, ROWS = 5, 10, 2
+SHINGLE, BANDS, ROWS = 5, 12, 3
 #: Words on either side among which a cut has the least hash.
 REACH = 3
 #: Columns that stand beside the documents' own for a while.
@@ -191,14 +191,13 @@ def repeated_paragraphs(texts: DataFrame, scratch: Scratch) -> DataFrame:
     """``doc_id, place, bytes, words, component_id, removed`` of paragraphs that are in a component of several."""
     found = scratch.save(texts.mapInArrow(_paragraphs, PARAGRAPH), "paragraphs")
     classes = scratch.save(found.groupBy("cid").agg(F.first("keys").alias("keys")), "classes")
-    keys = classes.select(F.explode("keys").alias("key"), "cid")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         table = texts.sparkSession.sparkContext.broadcast(bloom(wanted))
         made = texts.mapInArrow(_paragraph_sets(table), "cid binary, n long, sig binary, shingles binary").dropDuplicates(["cid"])
         return made.join(wanted, "cid", "left_semi")
 
-    roots = link(keys, sets_of, (4, 5), scratch).withColumnRenamed("id", "cid")
+    roots = link(classes, sets_of, (4, 5), scratch).withColumnRenamed("id", "cid")
     placed = found.drop("keys").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid")).drop("cid")
     heads = placed.groupBy("root").agg(F.min(F.struct("doc_id", "place")).alias("head"), F.max(F.struct("doc_id", "place")).alias("tail")).where("head != tail").select("root", "head")
     out = placed.join(heads, "root")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +16,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_folder(spark).rstrip('/')}/tokenloom-{name}-{uuid.uuid4().hex}"
         self._n = 0
+        self._saved: dict[int, tuple[DataFrame, str]] = {}
 
     def path(self, name: str) -> str:
         self._n += 1
@@ -28,12 +28,14 @@ class Scratch:
         if tasks is not None:
             df = df.coalesce(tasks)
         df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def delete(self, *frames: DataFrame) -> None:
-        """Removes tables that no later plan reads."""
-        jvm = self.spark._jvm
-        for df in frames:
-            for f in {os.path.dirname(x) for x in df.inputFiles()}:
-                path = jvm.org.apache.hadoop.fs.Path(f)
-                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self._saved[id(table)] = (table, path)
+        return table
+
+    def delete(self, *tables: DataFrame) -> None:
+        """Removes tables that ``save`` returned and that no later plan reads."""
+        fs = self.spark._jvm.org.apache.hadoop.fs
+        for table in tables:
+            _, name = self._saved.pop(id(table))
+            path = fs.Path(name)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

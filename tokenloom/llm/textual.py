@@ -1,8 +1,8 @@
 """Whole Arrow string columns as word hashes and shingle hashes, without a Python loop over words.
 
 A word is a run of bytes outside ``\\x20\\x09-\\x0D``; A-Z are lower-cased first.  Each
-word gets a 64-bit polynomial hash, each window of ``k`` words a mixed 64-bit hash of
-its words.  A text with 1 to ``k - 1`` words has one shingle, the whole sequence; an
+word gets a 64-bit hash, the sum of a random number for each (byte, place in the word), each window of ``k``
+words a mixed 64-bit hash of its words.  A text with 1 to ``k - 1`` words has one shingle, the whole sequence; an
 empty or null text has none.
 """
 
@@ -14,8 +14,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
@@ -23,8 +21,11 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: As white space, and ASCII punctuation too.
 MARKS = _SPACE.copy()
 MARKS[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
-_POWERS: dict[str, np.ndarray] = {}
-#: Bytes of text worked on at once, so that the arrays stay small; a longer text is a block of its own.
+#: Places of a word whose numbers are kept in a table; those of later ones are made when they are met.
+PLACES = 64
+_SALT = np.uint64(0x9E3779B97F4A7C15)
+_TABLE: list[np.ndarray] = []
+#: Bytes of text worked on at once, so that the arrays stay small; longer texts are cut at white space.
 BLOCK_BYTES = 1 << 20
 
 
@@ -37,14 +38,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n:
-        size = max(n, BLOCK_BYTES + 1)
-        for name, base in (("up", _BASE), ("down", _BASE_INVERSE)):
-            p = np.full(size, base, dtype=np.uint64)
-            p[0] = 1
-            _POWERS[name] = np.cumprod(p, dtype=np.uint64)
-    return _POWERS["up"], _POWERS["down"]
+def _letters() -> np.ndarray:
+    """A random number for each byte at each of the first ``PLACES`` places of a word."""
+    if not _TABLE:
+        _TABLE.append(mix(np.arange(PLACES << 8, dtype=np.uint64) + _SALT))
+    return _TABLE[0]
 
 
 @dataclass
@@ -88,13 +86,43 @@ def blocks(offsets: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int,
         low = high
 
 
-def words_of(offsets: np.ndarray, data: np.ndarray, between: np.ndarray = _SPACE, head: int = 0) -> Words:
-    """The words of the texts that ``offsets`` cut out of ``data``; ``between`` marks the bytes outside words."""
-    offsets = offsets - offsets[0]
-    n = len(offsets) - 1
-    if not len(data):
-        none = np.zeros(0, dtype=np.int64)
-        return Words(none.astype(np.uint64), none, none, none, np.zeros(n + 1, dtype=np.int64), offsets, data, none.astype(np.uint64))
+def cut_long(offsets: np.ndarray, data: np.ndarray, limit: int = BLOCK_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets with cuts before white space in texts of over ``limit`` bytes, and the text that each part is of.
+
+    A part is longer than ``limit`` only where it is one word.
+    """
+    if len(offsets) < 2 or not (np.diff(offsets) > limit).any():
+        return offsets, np.arange(len(offsets) - 1)
+    cuts: list[int] = []
+    owner: list[int] = []
+    for t, (low, high) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+        at = low
+        while True:
+            cuts.append(at)
+            owner.append(t)
+            if high - at <= limit:
+                break
+            nearest = np.flatnonzero(_SPACE[data[at + 1 : at + limit + 1]])
+            if len(nearest):
+                at += 1 + int(nearest[-1])
+                continue
+            at = _next_space(data, at + limit, high)
+            if at == high:
+                break
+    return np.array([*cuts, offsets[-1]], dtype=np.int64), np.array(owner)
+
+
+def _next_space(data: np.ndarray, low: int, high: int) -> int:
+    while low < high:
+        some = np.flatnonzero(_SPACE[data[low : min(low + BLOCK_BYTES, high)]])
+        if len(some):
+            return low + int(some[0])
+        low += BLOCK_BYTES
+    return high
+
+
+def _words(offsets: np.ndarray, data: np.ndarray, between: np.ndarray, head: int) -> tuple[np.ndarray, ...]:
+    """Hashes, begins and ends of the words between ``offsets``, and hashes of their first bytes."""
     low = _LOWER[data]
     space = between[data]
     edge = np.zeros(len(data) + 1, dtype=bool)
@@ -105,14 +133,40 @@ def words_of(offsets: np.ndarray, data: np.ndarray, between: np.ndarray = _SPACE
     ends[:-1] &= space[1:] | edge[1:-1]
     start = np.flatnonzero(begins)
     end = np.flatnonzero(ends) + 1
-    up, down = _powers(len(data) + 1)
+    size = end - start
+    # the place in the word above the byte; bytes between words get numbers too, which no word takes in
+    code = np.arange(len(data), dtype=np.int32 if len(data) < 1 << 23 else np.int64)
+    code[: start[0] if len(start) else len(data)] = 0
+    if len(start):
+        code[start[0] :] -= np.repeat(start.astype(code.dtype), np.diff(np.append(start, len(data))))
+    far = np.flatnonzero((code >= PLACES) & ~space) if len(size) and size.max() > PLACES else start[:0]
+    code <<= 8
+    code |= low
+    number = np.take(_letters(), code, mode="clip")
+    number[far] = mix(code[far].astype(np.uint64) + _SALT)
     total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-    hashes = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
-    heads = mix((total[np.minimum(end, start + head)] - total[start]) * down[start]) if head else None
+    np.cumsum(number, out=total[1:])
+    hashes = mix(total[end] - total[start] + size.astype(np.uint64))
+    return hashes, start, end, mix(total[np.minimum(end, start + head)] - total[start]) if head else hashes[:0]
+
+
+def words_of(offsets: np.ndarray, data: np.ndarray, between: np.ndarray = _SPACE, head: int = 0) -> Words:
+    """The words of the texts that ``offsets`` cut out of ``data``; ``between`` marks the bytes outside words.
+
+    Bytes are worked on a block at a time, so that a long text takes some 30 bytes a word and not 60 a byte.
+    """
+    offsets = offsets - offsets[0]
+    n = len(offsets) - 1
+    cuts, _ = cut_long(offsets, data)
+    found = [(cuts[low], *_words(cuts[low : high + 1] - cuts[low], data[cuts[low] : cuts[high]], between, head)) for low, high in blocks(cuts) if cuts[high] > cuts[low]]
+    if not found:
+        none = np.zeros(0, dtype=np.int64)
+        return Words(none.astype(np.uint64), none, none, none, np.zeros(n + 1, dtype=np.int64), offsets, data, none.astype(np.uint64))
+    hashes, heads = (np.concatenate([f[k] for f in found]) for k in (1, 4))
+    start, end = (np.concatenate([f[0] + f[k] for f in found]) for k in (2, 3))
     first = np.searchsorted(start, offsets, side="left")
     text = np.repeat(np.arange(n), np.diff(first))
-    return Words(hashes, text, start, end, first, offsets, data, heads)
+    return Words(hashes, text, start, end, first, offsets, data, heads if head else None)
 
 
 def windows(hashes: np.ndarray, k: int) -> np.ndarray:
