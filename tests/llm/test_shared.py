@@ -84,3 +84,55 @@ def test_components(spark):
     got = {r.id: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "test")).collect()}
     assert got == {x: find(x) for x in parent if any(x in e and e[0] != e[1] and None not in e for e in edges)}
     assert connected_components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "test")).count() == 0
+
+
+def thue_morse(n, a="a", b="b"):
+    """A word and its complement, which polynomial hashes modulo 2**64 take for one."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join((a, b)[x] for x in bits), "".join((b, a)[x] for x in bits)
+
+
+def test_words_made_to_collide():
+    one, other = thue_morse(2048)
+    w = words_of(*string_buffers(pa.array([one, other, one.upper()])))
+    assert w.hashes[0] == w.hashes[2] != w.hashes[1]
+    block = bpe.BlockEncoder(bpe.default_vocabulary())
+    assert encode(block, [one, other, f"{other} {one}"]) == library_ids(block, [one, other, f"{other} {one}"])
+    one, other = (x.split(",") for x in thue_morse(2048, "a,", "b,"))
+    from tokenloom.llm.passages import _sequence_ids
+
+    spans = words_of(*string_buffers(pa.array([" ".join(one), " ".join(other)])))
+    assert len({tuple(x) for x in _sequence_ids(spans.hashes, spans.first[:-1], spans.first[1:]).tolist()}) == 2
+
+
+def test_long_texts_are_cut():
+    """Words, ids and scores of a text of several blocks are those of the whole."""
+    rng = random.Random(7)
+    parts = [" ".join("".join(rng.choices("abcdefgé", k=rng.randrange(1, 9))) for _ in range(1000)) for _ in range(8)]
+    long = " ".join(rng.choice(parts) for _ in range(600)) + " " + "x" * 2_000_000
+    texts = ["one two", long, "three"]
+    w = words_of(*string_buffers(pa.array(texts)))
+    assert np.diff(w.first).tolist() == [2, len(long.split()), 1]
+    names: dict[str, int] = {}
+    assert all(names.setdefault(x, h) == h for x, h in zip(long.split(), w.hashes[2:-1].tolist(), strict=True)) and len(set(names.values())) == len(names)
+    short = [*texts[:1], long[: 3 << 20], "three"]
+    block = bpe.BlockEncoder(bpe.default_vocabulary())
+    ids, first = block.encode(*string_buffers(pa.array(short)))
+    assert [ids[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)] == library_ids(block, short)
+
+
+def test_scores_are_convolutions():
+    from tokenloom.llm import toxicity as T
+
+    rng = np.random.default_rng(3)
+    filters = {w: rng.standard_normal((w, T.DIMENSIONS, T.FILTERS)).astype(np.float32) for w in T.WIDTHS}
+    model = T.Model(rng.standard_normal((1 << T.BUCKETS_BITS, T.DIMENSIONS)).astype(np.float32), filters, np.zeros(24, np.float32), np.ones(24, np.float32))
+    sizes = [0, 1, 2, 7, T.LONG + 5]
+    rows = rng.integers(0, 1 << T.BUCKETS_BITS, size=(sum(sizes), 2))
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    for i, n in enumerate(sizes):
+        own = rows[first[i] : first[i + 1]]
+        x = np.concatenate([model.table[own[:, 0]] + model.table[own[:, 1]], np.zeros((3, T.DIMENSIONS), np.float32)])
+        want = np.concatenate([sum(x[o : n + 3 - w + 1 + o] @ filters[w][o] for o in range(w)).max(axis=0) for w in T.WIDTHS])
+        assert np.allclose(model._longest(own, np.array([0, n]))[0], want, atol=1e-4)
+    assert np.allclose(model.maxima(rows, first)[:-1], np.concatenate([model._longest(rows[a:b], np.array([0, b - a])) for a, b in zip(first[:-2], first[1:-1], strict=True)]), atol=1e-4)

@@ -8,7 +8,8 @@ worker has not met before are encoded.
 White space ends every pre-token, so texts are first cut there.  A chunk of plain letters
 (ASCII and the letters of Latin-1), digits and marks is cut here by the tokenizer's pattern;
 a chunk with anything else, or with the beginning of a special token's text, stays one
-opaque piece for the library, which then normalises and cuts it itself.
+opaque piece for the library, which then normalises and cuts it itself.  Pieces are told apart by a hash, and
+the bytes of all are compared with those of the one they were taken for.
 """
 
 from __future__ import annotations
@@ -17,12 +18,12 @@ import numpy as np
 import pandas as pd
 from tokenizers import Tokenizer
 
-from tokenloom.llm.textual import mix
+from tokenloom.llm.textual import blocks, cut_long, mix
 
 #: Distinct pre-tokens a worker remembers (some 200 bytes each); later ones are encoded anew in each block.
 CACHE_SIZE = 400_000
-#: Begins the key of an opaque piece; plain ones have no control characters.
-MARK = b"\0"
+#: Begins the key of an opaque piece, and of a pre-token that the library cut out of one; plain ones have no control characters.
+MARK, CUT = b"\0", b"\1"
 SPACE, LETTER, DIGIT, OTHER, OPAQUE = range(5)
 #: What the tokenizer's pattern takes as one pre-token after an apostrophe.
 CONTRACTIONS = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")
@@ -69,6 +70,25 @@ class PreTokens:
         self.text, self.number, self.distinct = text, number, distinct
 
 
+def _same_bytes(data: np.ndarray, start: np.ndarray, stop: np.ndarray, like: np.ndarray, kind: np.ndarray) -> bool:
+    """Whether every piece has the bytes and the kind of the one that it was taken for."""
+    size = stop - start
+    if (size != size[like]).any() or (kind != kind[like]).any():
+        return False
+    move = np.repeat((start[like] - start).astype(np.int32), size)
+    at = np.arange(len(move), dtype=np.int32) + np.repeat((start - (np.cumsum(size) - size)).astype(np.int32), size)
+    own = data[at]
+    at += move
+    return bool((own == data[at]).all())
+
+
+def _by_bytes(raw: bytes, start: np.ndarray, stop: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the distinct pieces and their first places, for blocks made so that hashes collide."""
+    seen: dict[tuple[bool, bytes], int] = {}
+    number = np.array([seen.setdefault((k, raw[a:b]), len(seen)) for k, a, b in zip(kind.tolist(), start.tolist(), stop.tolist(), strict=True)], dtype=np.int64)
+    return number, np.unique(number, return_index=True)[1]
+
+
 def pre_tokens(offsets: np.ndarray, data: np.ndarray) -> PreTokens:
     """Cuts the texts between ``offsets`` in ``data``; a distinct one is its lower-cased bytes, an opaque one MARK and its raw bytes."""
     offsets = offsets - offsets[0]
@@ -124,6 +144,8 @@ def pre_tokens(offsets: np.ndarray, data: np.ndarray) -> PreTokens:
     first = np.empty(number.max() + 1, dtype=np.int64)
     first[number[::-1]] = np.arange(len(number))[::-1]
     raw = low.tobytes()
+    if not _same_bytes(low, start, stop, first[number], is_opaque):
+        number, first = _by_bytes(raw, start, stop, is_opaque)
     spans = zip(is_opaque[first].tolist(), start[first].tolist(), stop[first].tolist(), strict=True)
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(start, offsets)))
     return PreTokens(text, number, [MARK + raw[a:b] if o else raw[a:b] for o, a, b in spans])
@@ -145,11 +167,22 @@ class BlockEncoder:
 
     def ids(self, piece: bytes) -> list[int]:
         """The ids of one pre-token or opaque piece."""
+        if piece.startswith(CUT):
+            return [x.id for x in self.model.tokenize(piece[1:].decode())]
         if piece.startswith(MARK):
             return self.tokenizer.encode(piece[1:].decode(), add_special_tokens=False).ids
         letters = self.letters
         return [x.id for x in self.model.tokenize("".join([letters[b] for b in piece]))]
 
+    def cut(self, piece: bytes) -> list[bytes]:
+        """The pre-tokens of an opaque piece, as the library normalises and cuts it; one that may hold a special token's text stays whole."""
+        text = piece[1:].decode()
+        if "<|" in text:
+            return [piece]
+        if self.tokenizer.normalizer is not None:
+            text = self.tokenizer.normalizer.normalize_str(text)
+        return [CUT + x.encode() for x, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+
     def _add(self, ids: list[int]) -> int:
         if self.known + 2 > len(self.start):
             self.start = np.concatenate([self.start, np.zeros_like(self.start)])
@@ -162,7 +195,19 @@ class BlockEncoder:
         return self.known - 1
 
     def encode(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the block in order, and where each text's begin (one entry more than texts)."""
+        """All ids of the block in order, and where each text's begin (one entry more than texts); long texts are encoded in parts."""
+        offsets = offsets - offsets[0]
+        cuts, owner = cut_long(offsets, data)
+        if len(cuts) == len(offsets):
+            return self._encode(offsets, data)
+        parts, counts = [], np.zeros(len(offsets) - 1, dtype=np.int64)
+        for low, high in blocks(cuts):
+            ids, first = self._encode(cuts[low : high + 1], data[cuts[low] : cuts[high]])
+            parts.append(ids)
+            np.add.at(counts, owner[low:high], np.diff(first))
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum(counts)])
+
+    def _encode(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         found, n = pre_tokens(offsets, data), len(offsets) - 1
         if not len(found.number):
             return np.zeros(0, dtype=self.dtype), np.zeros(n + 1, dtype=np.int64)

@@ -67,18 +67,16 @@ def _cuts(words: Words, inside: bool) -> np.ndarray:
 
 
 def _sequence_ids(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Two 64-bit hashes of the words in each span, by their order."""
+    """Two 64-bit hashes of the words in each span, by their places in it."""
+    size = last - first
+    end = np.cumsum(size)
+    begin = end - size
+    place = np.arange(size.sum()) - np.repeat(begin, size)
+    words = hashes[place + np.repeat(first, size)]
     out = np.empty((len(first), 2), dtype=np.uint64)
-    n = len(hashes) + 1
-    for k, base in enumerate((0xD1342543DE82EF95, 0xAF251AF3B0F025B5)):
-        up = np.full(n, base, dtype=np.uint64)
-        up[0] = 1
-        up = np.cumprod(up, dtype=np.uint64)
-        down = np.full(n, pow(base, -1, 1 << 64), dtype=np.uint64)
-        down[0] = 1
-        down = np.cumprod(down, dtype=np.uint64)
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * up[:-1], dtype=np.uint64)])
-        out[:, k] = mix((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64))
+    for k, odd in enumerate((0xD1342543DE82EF95, 0xAF251AF3B0F025B5)):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(words + (place + 1).astype(np.uint64) * np.uint64(odd)), dtype=np.uint64)])
+        out[:, k] = mix(total[end] - total[begin] + size.astype(np.uint64))
     return out
 
 
@@ -156,26 +154,31 @@ def _paragraph_sets(table):
     return run
 
 
-def _stretches(words: Words) -> _Spans:
-    """For each piece the fewest pieces from it on that have ``LEAST`` words together, where its text has so many."""
+def _stretches(words: Words) -> tuple[_Spans, np.ndarray]:
+    """For each piece the fewest pieces from it on that have ``LEAST`` words together, where its text has so many, and an id of their words."""
     spans = _Spans(words, True)
+    pieces = spans.ids()[:, 0]
     ends = np.searchsorted(spans.last, spans.first + LEAST)
     kept = np.flatnonzero(ends < len(spans.last))
     kept = kept[spans.text[ends[kept]] == spans.text[kept]]
     ends = ends[kept]
+    ids = np.zeros(len(kept), dtype=np.uint64)
+    for d in range(int((ends - kept).max()) + 1 if len(kept) else 0):
+        live = kept + d <= ends
+        ids[live] = mix(ids[live] * np.uint64(0xD6E8FEB86659FD93) + pieces[kept[live] + d])
     spans.high, spans.last = spans.high[ends], spans.last[ends]
     spans.first, spans.text, spans.low = spans.first[kept], spans.text[kept], spans.low[kept]
     spans.size = spans.last - spans.first
-    return spans
+    return spans, ids.view(np.int64)
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for doc_id, words in _each(batches):
-        spans = _stretches(words)
+        spans, ids = _stretches(words)
         # words before the stretch: what overlapping ones have together is a difference
         at = spans.first - words.first[spans.text]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(spans.ids()[:, 0].view(np.int64)), doc_id.take(pa.array(spans.text)), pa.array(_tags(words)[spans.text] + spans.low), pa.array((spans.high - spans.low).astype(np.int32)), pa.array(spans.size.astype(np.int32)), pa.array(at.astype(np.int32))],
+            [pa.array(ids), doc_id.take(pa.array(spans.text)), pa.array(_tags(words)[spans.text] + spans.low), pa.array((spans.high - spans.low).astype(np.int32)), pa.array(spans.size.astype(np.int32)), pa.array(at.astype(np.int32))],
             names=["piece", "doc_id", "place", "bytes", "words", "at"],
         )
 
@@ -183,7 +186,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _piece_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The stretches of each block of texts, one once with whether the block repeats it."""
     for _, words in _each(batches):
-        ids, n = np.unique(_stretches(words).ids()[:, 0].view(np.int64), return_counts=True)
+        ids, n = np.unique(_stretches(words)[1], return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n)], names=["piece", "n"])
 
 

@@ -80,8 +80,7 @@ def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The turns recovered from the conversations' raw transcripts, in which roles are told by markers at most."""
     raw = transcripts.raw_transcripts(table(spark, sf_dir, "conversations"))
-    model = transcripts.fit(raw.where(F.pmod(F.xxhash64("conv_id"), F.lit(2)) == 0))
-    return transcripts.parse(raw.drop("role"), model)
+    return transcripts.parse(raw.drop("role"), transcripts.fit(raw))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -114,7 +114,8 @@ def write_token_files(docs: DataFrame, uri: str | None = None, vocabulary: str |
     uri = uri or f"{shared_folder(spark).rstrip('/')}/token-files-{uuid.uuid4().hex}"
     fs, root = _folder(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
     fs.create_dir(root)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # a part for each task of the scan at least, so that parts don't grow with the corpus
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     cuts = [i / parts for i in range(1, parts)]
     bounds = sorted({int(x) for x in docs.select(F.col("doc_id").cast("long").alias("doc_id")).approxQuantile("doc_id", cuts, 0.1 / parts)}) if cuts else []
     spread = encode_rows(docs, vocabulary, end, bounds).repartitionById(parts, F.col("part"))
@@ -135,6 +136,13 @@ def _map(fs: pafs.FileSystem, path: str, dtype: str) -> np.ndarray:
         return np.frombuffer(f.read_buffer(), dtype=dtype)
 
 
+def _range(fs: pafs.FileSystem, path: str, dtype: str, low: int, high: int) -> np.ndarray:
+    """Entries ``low`` to ``high`` of a file."""
+    width = np.dtype(dtype).itemsize
+    with fs.open_input_file(path) as f:
+        return np.frombuffer(f.read_at((high - low) * width, low * width), dtype=dtype)
+
+
 def read_token_files(uri: str, manifest: DataFrame) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document, from the files alone."""
 
@@ -142,12 +150,15 @@ def read_token_files(uri: str, manifest: DataFrame) -> DataFrame:
         fs, root = _folder(uri)
         for batch in batches:
             for row in batch.to_pylist():
-                ids = _map(fs, f"{root}/ids-{row['part']:05d}.bin", f"<u{row['width']}")
+                name, dtype = f"{root}/ids-{row['part']:05d}.bin", f"<u{row['width']}"
+                mapped = _map(fs, name, dtype) if isinstance(fs, pafs.LocalFileSystem) else None
                 offsets = _map(fs, f"{root}/offsets-{row['part']:05d}.bin", "<u8").astype(np.int64)
                 keys = _map(fs, f"{root}/docs-{row['part']:05d}.bin", "<i8")
-                for low in range(0, len(keys), 4096):
-                    high = min(low + 4096, len(keys))
+                for low in range(0, len(keys), 1024):
+                    high = min(low + 1024, len(keys))
                     at = offsets[low : high + 1] - row["base"]
+                    ids = mapped[at[0] : at[-1]] if mapped is not None else _range(fs, name, dtype, at[0], at[-1])
+                    at = at - at[0]
                     crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                     missing = np.arange(low, high) < row["nulls"]
                     yield pa.RecordBatch.from_arrays([pa.array(keys[low:high], mask=missing), pa.array(offsets[low:high]), pa.array(np.diff(at)), pa.array(crc, type=pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])

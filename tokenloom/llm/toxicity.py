@@ -8,7 +8,7 @@ Training takes a bounded sample of the labelled rows: ``SAMPLE`` of either label
 of their id.  A quarter of it sets the scale of the score, where 0.7 stands for the best cut over all languages, and a
 cut for each language with enough labelled rows.  The sample and the model are of a fixed size.
 
-Defined results: a null or empty text is scored like any other (by the model's bias); repeated rows
+Defined results: a null or empty text is scored like any other (by the model's bias); rows that repeat an id enter training once, with their least text; repeated rows
 get the same score but for the rounding of 32-bit sums; labels of an id that disagree count as toxic; without labels of both kinds every score is
 the share of toxic labels (0 without any); an empty table gives no rows; a null or rare language takes the
 overall cut.  Columns of ``docs`` other than doc_id, text and lang are passed through unread.
@@ -33,6 +33,8 @@ BUCKETS_BITS, DIMENSIONS, FILTERS, WIDTHS = 17, 8, 8, (1, 2, 3)
 EPOCHS, LEAST_STEPS, BATCH, RATE, HEAD_BYTES = 6, 600, 32, 0.02, 4
 #: Bytes of text scored at once: a word takes some 300 bytes of products meanwhile.
 BLOCK_BYTES = 1 << 18
+#: Words of one text that are scored at once.
+LONG = 1 << 16
 #: The score that stands for the overall cut.
 CUT = 0.7
 #: Labelled rows of a language, and of either label in it, from which it gets a cut of its own.
@@ -53,8 +55,8 @@ class Model:
     shift: float = 0.0
     cuts: dict[str, float] = field(default_factory=dict)
 
-    def maxima(self, rows: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """The filters' maxima for texts whose words' table rows are ``rows[first[i]:first[i + 1]]``."""
+    def maxima(self, rows: np.ndarray, first: np.ndarray, ends: bool = True) -> np.ndarray:
+        """The filters' maxima for texts whose words' table rows are ``rows[first[i]:first[i + 1]]``; ``ends`` takes in windows that end in the padding."""
         n = len(first) - 1
         counts = np.diff(first)
         at = np.arange(len(rows)) + np.repeat(np.arange(n) * _PAD, counts)
@@ -69,13 +71,24 @@ class Model:
             for o in range(1, w):
                 z[:, : z.shape[1] - o] += every[row + o * FILTERS : row + (o + 1) * FILTERS, o:]
             row += w * FILTERS
-            spans = np.stack([begin, begin + counts + _PAD - w + 1], axis=1).ravel()  # windows that end in the text's own padding
+            spans = np.stack([begin, begin + counts + (_PAD - w + 1 if ends else 1 - w)], axis=1).ravel()  # windows that end in the text's own padding
             out.append(np.maximum.reduceat(z, spans, axis=1)[:, ::2])
         return np.concatenate(out).T
 
+    def _longest(self, rows: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """``maxima`` of a block, in slices where it is one long text."""
+        if len(first) > 2 or len(rows) <= LONG:
+            return self.maxima(rows, first)
+        # slices overlap by the words of a window; windows into the padding count in the last slice alone
+        parts = []
+        for low in range(0, len(rows), LONG):
+            part = rows[low : low + LONG + _PAD - 1]
+            parts.append(self.maxima(part, np.array([0, len(part)]), low + LONG >= len(rows)))
+        return np.max(parts, axis=0)
+
     def raw(self, rows: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Scores before scaling."""
-        return np.tanh((self.maxima(rows, first) + self.bias).astype(np.float64)) @ self.weights.astype(np.float64) + self.constant
+        return np.tanh((self._longest(rows, first) + self.bias).astype(np.float64)) @ self.weights.astype(np.float64) + self.constant
 
     def score(self, z: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.scale * z + self.shift, -30, 30)))
@@ -92,6 +105,64 @@ def _rows_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return word_rows(*string_buffers(pa.array(texts, type=pa.string())))
 
 
+def _by_words(texts: np.ndarray, first: np.ndarray) -> Iterator[np.ndarray]:
+    """The texts in groups of about ``LONG`` words, one text at least."""
+    ends = np.cumsum(first[texts + 1] - first[texts])
+    low = 0
+    while low < len(texts):
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + LONG)))
+        yield texts[low:high]
+        low = high
+
+
+def _backward(rows, first, texts, labels, weight, table, params, grads, touched, pulls) -> None:
+    """Adds the gradients of some texts; the table's go to ``touched`` and ``pulls``."""
+    counts = first[texts + 1] - first[texts]
+    n = len(texts)
+    begin = np.concatenate([[0], np.cumsum(counts + _PAD)])
+    at = np.arange(counts.sum()) + np.repeat(begin[:-1] - (np.cumsum(counts) - counts), counts)
+    source = np.arange(counts.sum()) + np.repeat(first[texts] - (np.cumsum(counts) - counts), counts)
+    inside = np.full(begin[-1], -1, dtype=np.int64)  # the word of each row of x, -1 in the padding
+    inside[at] = source
+    x = np.zeros((begin[-1], DIMENSIONS), np.float32)
+    x[at] = table[rows[source, 0]] + table[rows[source, 1]]
+    tops, places = [], []
+    for w in WIDTHS:
+        size = len(x) - w + 1
+        z = x[:size] @ params[f"filter{w}"][0]
+        for o in range(1, w):
+            z += x[o : size + o] @ params[f"filter{w}"][o]
+        spans = np.stack([begin[:-1], begin[1:] - w + 1], axis=1).ravel()
+        z = np.concatenate([z, np.full((1, FILTERS), -np.inf, np.float32)])  # a span may end where z does
+        top = np.maximum.reduceat(z, spans, axis=0)[::2]
+        text = np.repeat(np.arange(n), counts + _PAD)
+        row, column = np.nonzero(z[:size] == top[text[:size]])
+        fits = row <= begin[text[row] + 1] - w  # windows that run into the next text aren't this one's
+        row, column = row[fits][::-1], column[fits][::-1]
+        place = np.zeros((n, FILTERS), dtype=np.int64)
+        place[text[row], column] = row  # the first of equal ones
+        tops.append(top)
+        places.append(place)
+    kept = np.tanh(np.concatenate(tops, axis=1) + params["bias"])
+    out = kept @ params["weights"] + params["constant"][0]
+    own = labels[texts]
+    error = np.where(own > 0, weight[1], weight[0]) * (1 / (1 + np.exp(-np.clip(out, -30, 30))) - own)
+    grads["constant"] += error.sum()
+    grads["weights"] += error @ kept
+    back = (error[:, None] * params["weights"] * (1 - kept * kept)).astype(np.float32)
+    grads["bias"] += back.sum(axis=0)
+    for j, w in enumerate(WIDTHS):
+        own_back = back[:, j * FILTERS : (j + 1) * FILTERS]
+        for o in range(w):
+            seat = places[j] + o
+            grads[f"filter{w}"][o] += np.einsum("nfd,nf->df", x[seat], own_back)
+            word = inside[seat]
+            real = word >= 0
+            pull = own_back[..., None] * params[f"filter{w}"][o].T
+            touched.append(rows[word[real]].ravel())
+            pulls.append(np.repeat(pull[real], 2, axis=0))
+
+
 def _fit_filters(rows: np.ndarray, first: np.ndarray, labels: np.ndarray, rng: np.random.Generator) -> Model:
     """Adam on the logistic loss; a step touches the filters and the embeddings where a filter had its maximum."""
     size = 1 << BUCKETS_BITS
@@ -113,36 +184,8 @@ def _fit_filters(rows: np.ndarray, first: np.ndarray, labels: np.ndarray, rng: n
             step += 1
             grads = {k: np.zeros_like(v) for k, v in params.items()}
             touched, pulls = [], []
-            for i in order[low : low + BATCH]:
-                own = rows[first[i] : first[i + 1]]
-                x = np.zeros((len(own) + _PAD, DIMENSIONS), np.float32)
-                x[: len(own)] = table[own[:, 0]] + table[own[:, 1]]
-                tops, places = [], []
-                for w in WIDTHS:
-                    z = x[: len(x) - w + 1] @ params[f"filter{w}"][0]
-                    for o in range(1, w):
-                        z += x[o : len(x) - w + 1 + o] @ params[f"filter{w}"][o]
-                    place = z.argmax(axis=0)
-                    places.append(place)
-                    tops.append(z[place, np.arange(FILTERS)])
-                top = np.concatenate(tops) + params["bias"]
-                kept = np.tanh(top)
-                out = float(kept @ params["weights"] + params["constant"][0])
-                error = weight[int(labels[i])] * (1 / (1 + np.exp(-np.clip(out, -30, 30))) - labels[i])
-                grads["constant"] += error
-                grads["weights"] += error * kept
-                back = error * params["weights"] * (1 - kept * kept)
-                grads["bias"] += back
-                for j, w in enumerate(WIDTHS):
-                    own_back = back[j * FILTERS : (j + 1) * FILTERS]
-                    for o in range(w):
-                        at = places[j] + o
-                        grads[f"filter{w}"][o] += x[at].T * own_back
-                        real = at < len(own)
-                        if real.any():
-                            pull = own_back[real, None] * params[f"filter{w}"][o].T[real]
-                            touched.append(own[at[real]].ravel())
-                            pulls.append(np.repeat(pull, 2, axis=0))
+            for own in _by_words(order[low : low + BATCH], first):
+                _backward(rows, first, own, labels, weight, table, params, grads, touched, pulls)
             for k, g in grads.items():
                 g = g / BATCH + 1e-5 * params[k]
                 m, v = moments[k]
@@ -211,8 +254,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, where: Column | None = N
     picked = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(size) for y in (0, 1)]
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     # 2 * size ids at most, so they are sent to the documents; one row an id, so that a repeated row weighs once
-    found = texts.join(F.broadcast(picked[0].union(picked[1])), "doc_id").dropDuplicates(["doc_id"])
-    return found.orderBy("doc_id").select("text", "lang", "toxic")
+    found = texts.join(F.broadcast(picked[0].union(picked[1])), "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.coalesce("text", F.lit("")).alias("text"), "lang", "toxic")).alias("row"))
+    return found.orderBy("doc_id").select("row.text", "row.lang", "row.toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame, where: Column | None = None, size: int = SAMPLE) -> Model:

@@ -37,6 +37,8 @@ MARKERS = {
     "assistant": r"^\s*(\[assistant\]|(assistant|ai|bot|answer|a)\s*:|###\s*(assistant|response)\b:?|<\|assistant\|>|\*\*assistant:?\*\*:?)\s*",
 }
 SPEAKER = r"^\s*[A-Z][\w .-]{0,24}:\s"
+#: Turn numbers of a conversation whose neighbours are found together.
+STRETCH = 4096
 #: Number of values of each feature.
 FEATURES = {"marker": 5, "size": 7, "ending": 4, "opening": 4}
 
@@ -82,7 +84,7 @@ def _log(counts: np.ndarray, smooth: float = 0.5) -> np.ndarray:
 
 
 def fit(transcripts: DataFrame) -> Model:
-    """Counts of rows ``conv_id, turn, text, role``; rows with other roles are left out.  No row leaves its task."""
+    """Counts of rows ``conv_id, turn, text, role``; rows with other roles are left out.  Texts stay in their tasks."""
     role = F.lower(F.col("role").cast("string"))
     known = transcripts.withColumn("role", role).where(F.col("role").isin(*ROLES))
     number = sum((F.when(F.col("role") == r, 2 * i).otherwise(0) for i, r in enumerate(ROLES)), F.lit(0))
@@ -91,11 +93,18 @@ def fit(transcripts: DataFrame) -> Model:
     pairs = F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).alias("value")) for f in FEATURES))).alias("p")
     for row in lines.select("state", pairs).groupBy("state", "p.feature", "p.value").count().collect():
         emit[row["feature"]][row["value"], row["state"]] = row["count"]
-    # a turn is one row here: its role, the role after it, and its lines give all transitions
-    after = F.lead("role").over(Window.partitionBy("conv_id").orderBy("turn"))
-    first = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) == 1
+    # a turn is one row here: its role, the role after it, and its lines give all transitions.  Windows are over stretches
+    # of a conversation's turns, the ends of stretches over one row each, so that an endless conversation isn't one task
     n = F.size(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n"))
-    turns = known.select("role", after.alias("after"), first.alias("first"), n.alias("n"))
+    stretch = F.floor(F.coalesce(F.col("turn").cast("long"), F.lit(-1)) / STRETCH)
+    turns = known.select("conv_id", F.coalesce(F.col("turn").cast("long"), F.lit(-(1 << 62))).alias("turn"), "role", n.alias("n"), stretch.alias("stretch"))
+    order = F.struct("turn", "role", "n")
+    edges = turns.groupBy("conv_id", "stretch").agg(F.min(order)["role"].alias("opens"))
+    edges = edges.select("conv_id", "stretch", F.lead("opens").over(Window.partitionBy("conv_id").orderBy("stretch")).alias("next"), (F.row_number().over(Window.partitionBy("conv_id").orderBy("stretch")) == 1).alias("begins"))
+    own = Window.partitionBy("conv_id", "stretch").orderBy("turn", "role", "n")
+    turns = turns.select("*", F.lead("role").over(own).alias("within"), (F.row_number().over(own) == 1).alias("leads")).withColumnsRenamed({"conv_id": "c", "stretch": "s"})
+    turns = turns.join(edges, F.col("c").eqNullSafe(F.col("conv_id")) & (F.col("s") == F.col("stretch")))
+    turns = turns.select("role", F.coalesce("within", "next").alias("after"), (F.col("leads") & F.col("begins")).alias("first"), "n")
     start, move = np.zeros(STATES), np.zeros((STATES, STATES))
     for row in turns.groupBy("role", "after", "first").agg(F.count("*").alias("turns"), F.sum("n").alias("lines"), F.count_if(F.col("n") == 1).alias("single")).collect():
         own = 2 * ROLES.index(row["role"])

@@ -36,6 +36,8 @@ REVISIT_BYTES = 100
 #: Of the records, which have no date of their own.
 DATE = "2024-01-01T00:00:00Z"
 CHUNK = 1 << 20
+#: Rows of an archive that are given together.
+ROWS = 1000
 FILE = "uri string, records long, bytes long"
 _FILE_ARROW = pa.schema([("uri", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())])
 _CONTENT_LENGTH = re.compile(rb"\r\ncontent-length:\s*(\d+)", re.IGNORECASE)
@@ -112,13 +114,17 @@ def split_records(pieces: Iterator[bytes]) -> Iterator[bytes]:
 
 
 def with_owners(pages: DataFrame) -> DataFrame:
-    """``page_id, url, payload, digest, refers_to``; only digests with several pages are joined back."""
+    """``page_id, url, payload, digest, refers_to``.
+
+    Owners are found on ids and digests alone; payloads are joined to them by page and digest, so that a payload that many
+    pages have doesn't bring those to one task.
+    """
     plain = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
     plain = plain.withColumn("digest", F.sha2("payload", 256))
     large = plain.where(F.octet_length("payload") >= REVISIT_BYTES).select("page_id", "digest")
     owners = large.groupBy("digest").agg(F.min("page_id").alias("owner"), F.count("*").alias("n")).where("n > 1 AND owner IS NOT NULL").select("digest", "owner")
-    refers = F.when(~F.col("page_id").eqNullSafe(F.col("owner")), F.col("owner"))
-    return plain.join(owners, "digest", "left").select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
+    refers = large.join(owners, "digest").where(~F.col("page_id").eqNullSafe(F.col("owner"))).distinct().withColumnsRenamed({"page_id": "page", "digest": "same", "owner": "refers_to"})
+    return plain.join(refers, F.col("page_id").eqNullSafe(F.col("page")) & (F.col("digest") == F.col("same")), "left").select("page_id", "url", "payload", "digest", "refers_to")
 
 
 def write_archives(pages: DataFrame, uri: str | None = None, level: int = 6) -> tuple[str, DataFrame]:
@@ -196,6 +202,7 @@ def read_records(uri: str, files: DataFrame) -> DataFrame:
         for batch in batches:
             for name in batch.column("uri").to_pylist():
                 rows: list[dict] = []
+                schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
                 with fs.open_input_file(f"{root}/{name}") as data, fs.open_input_stream(f"{root}/{name}.index") as index:
                     for line in index.read().splitlines():
                         at = json.loads(line)
@@ -206,6 +213,9 @@ def read_records(uri: str, files: DataFrame) -> DataFrame:
                             raise ValueError(f"{name}: a payload of {len(got['payload'])} bytes, {got['payload_bytes']} declared")
                         digest = hashlib.sha256(got["payload"]).hexdigest() if whole else got["warc-payload-digest"].removeprefix("sha256:")
                         rows.append({"page_id": number(got.get("x-page-id")), "payload_bytes": got["payload_bytes"], "payload_digest": digest, "record_type": got["warc-type"], "refers_to": number(got.get("x-refers-to-page-id"))})
-                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]))
+                        if len(rows) == ROWS:
+                            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                            rows = []
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return files.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
