@@ -10,10 +10,15 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+#: Rows of an Arrow batch, where the session keeps Spark's default: whole documents come in batches of a few MB, so that
+#: two Python workers and their JVM fit a small executor.
+BATCH = ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000")
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends the package to the executors, once for each application, for Arrow functions import it there."""
+    """Sends the package to the executors, once for each application, for Arrow functions import it there; sets ``BATCH``."""
+    if spark.conf.get(BATCH[0]) == BATCH[1]:
+        spark.conf.set(BATCH[0], BATCH[2])
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return
