@@ -78,18 +78,26 @@ def dedupe(lines: DataFrame, key: str) -> DataFrame:
 
 
 def content_type(text: Column) -> Column:
-    """Rows 40-47: the first kind of content whose signs are strong enough, else text."""
-    lines = F.slice(F.split(text, "\n"), 1, 200)
-    some = F.filter(lines, lambda x: F.trim(x) != "")
-    ratio = lambda pattern: F.when(F.size(some) > 0, F.size(F.filter(some, lambda x: x.rlike(pattern))) / F.size(some)).otherwise(0.0)
+    """Rows 40-47: the first kind of content whose signs are strong enough, else text.
+
+    Numbers are the fixed weights and thresholds of the kinds: how sure a share of lines makes, and from when that is enough.
+    """
+    every = F.split(text, "\n")
+    some = lambda n: F.filter(F.slice(every, 1, n), lambda x: F.trim(x) != "")
+    count = lambda rows, pattern: F.size(F.filter(rows, lambda x: x.rlike(pattern)))
+    ratio = lambda rows, pattern: F.when(F.size(rows) > 0, count(rows, pattern) / F.size(rows)).otherwise(0.0)
     head = F.substring(text, 1, 3000)
     tag = lambda t: head.rlike(rf"(?i)<{t}[\s>]").cast("double")
     html = 0.5 * head.rlike(r"(?i)<!doctype html").cast("double") + 0.3 * tag("html") + 0.1 * tag("head") + 0.1 * tag("body")
-    headers = F.size(F.filter(lines, lambda x: x.rlike(r"^(diff --git |--- a/|\+\+\+ b/|@@ -\d+)")))
-    commas = F.transform(some, lambda x: F.size(F.split(x, ",")))
-    tabular = (F.size(some) >= 3) & (F.element_at(commas, 1) >= 3) & F.forall(commas, lambda n: n == F.element_at(commas, 1))
+    first = F.slice(every, 1, 500)
+    headers, changes = count(first, r"^(diff --git |diff --combined |diff --cc |--- a/|\+\+\+ b/|@@ -\d+)"), count(first, r"^[+-][^+-]")
+    diff = F.when(headers > 0, F.least(F.lit(1.0), 0.5 + 0.2 * headers + 0.05 * changes)).otherwise(0.0)
+    found = ratio(some(100), r"^[^\s:]+:\d+:")
+    search = F.when(found >= 0.3, 0.4 + 0.6 * found).otherwise(0.0)
+    logged = ratio(some(200), r"^\s*(\[?\d{4}-\d{2}-\d{2}|\[?(INFO|WARN|WARNING|ERROR|DEBUG|FATAL|CRITICAL)\b)")
+    errors = count(some(200), r"\b(ERROR|FATAL|CRITICAL)\b")
+    log = F.when(logged >= 0.1, F.least(F.lit(1.0), 0.3 + 0.5 * logged + 0.05 * errors)).otherwise(0.0)
+    commas = F.transform(some(200), lambda x: F.size(F.split(x, ",")))
+    tabular = (F.size(commas) >= 3) & (F.element_at(commas, 1) >= 3) & F.forall(commas, lambda n: n == F.element_at(commas, 1))
     is_json = text.rlike(r"^\s*[\[{]") & F.try_parse_json(text).isNotNull()
-    log = r"^\s*(\[?\d{4}-\d{2}-\d{2}|\[?(INFO|WARN|WARNING|ERROR|DEBUG|FATAL|CRITICAL)\b)"
-    return (
-        F.when(is_json, "json").when(headers > 0, "diff").when(html >= 0.5, "html").when(ratio(r"^[^\s:]+:\d+:") >= 0.3, "search").when(0.3 + 0.5 * ratio(log) >= 0.5, "log").when(tabular, "tabular").otherwise("text")
-    )
+    return F.when(is_json, "json").when(diff >= 0.7, "diff").when(html >= 0.7, "html").when(search >= 0.6, "search").when(log >= 0.5, "log").when(tabular, "tabular").otherwise("text")

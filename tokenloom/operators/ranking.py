@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,10 @@ from tokenloom.functions.text import ngrams, words
 K1, B = 1.5, 0.75
 
 
+#: Query vectors that are broadcast at once.
+QUERY_BLOCK = 4096
+
+
 def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """Rows 260 and 265: ``doc_id, query_id, score`` of every document with a query term.
 
@@ -41,11 +47,21 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm).otherwise(F.lit(0.0))
 
 
+def similar(vectors: DataFrame, queries: DataFrame, least: float, block: int = QUERY_BLOCK) -> DataFrame:
+    """``query_id, vec_id, similarity`` of all vectors at ``least`` to the queries, in blocks of so many queries.
+
+    What is broadcast at once is a block, about ``block`` rows; the vectors are read once for each.
+    """
+    each = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    parts = max(1, -(-each.count() // block))
+    blocks = [each.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i) for i in range(parts)]
+    found = [vectors.crossJoin(F.broadcast(b)).where("vec_id != query_id").select("query_id", "vec_id", cosine(F.col("q"), F.col("embedding")).alias("similarity")).where(F.col("similarity") >= least) for b in blocks]
+    return reduce(DataFrame.union, found)
+
+
 def vector_top(vectors: DataFrame, queries: DataFrame, k: int, least: float = 0.0) -> DataFrame:
-    """Rows 81 and 187: exact nearest neighbours of a stated set of queries, small enough to be sent to all tasks."""
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    scored = vectors.crossJoin(F.broadcast(q)).where("vec_id != query_id").select("query_id", "vec_id", cosine(F.col("q"), F.col("embedding")).alias("similarity"))
-    return top(scored.where(F.col("similarity") >= least), "query_id", "similarity", "vec_id", k)
+    """Rows 81 and 187: exact nearest neighbours of a stated set of queries."""
+    return top(similar(vectors, queries, least), "query_id", "similarity", "vec_id", k)
 
 
 def hybrid(vector: DataFrame, text: DataFrame, vector_weight: float = 0.7) -> DataFrame:

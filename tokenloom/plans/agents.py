@@ -40,15 +40,14 @@ def compressed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agents.zipped(a, b)
 
 
-@query("""WITH m AS (SELECT doc_id, substr(md5(CAST(doc_id % 97 AS VARCHAR)), 1, 16) AS hash FROM documents), s AS (SELECT DISTINCT substr(md5(CAST(doc_id AS VARCHAR)), 1, 16) AS hash, 'c' || doc_id AS content, TIMESTAMP '2024-01-01' + doc_id * INTERVAL 1 MINUTE AS created, 3000 AS ttl FROM documents WHERE doc_id < 80)
+@query("""WITH m AS (SELECT doc_id, substr(md5(CAST(doc_id AS VARCHAR)), 1, 16) AS hash FROM documents), s AS (SELECT DISTINCT substr(md5(CAST(page_id AS VARCHAR)), 1, 16) AS hash, url AS content, TIMESTAMP '2024-01-01' + page_id * INTERVAL 1 MINUTE AS created, 3000 AS ttl FROM pages)
 SELECT m.doc_id, m.hash, CASE WHEN created IS NULL THEN 'missing' WHEN created + ttl * INTERVAL 1 SECOND > TIMESTAMP '2024-01-01 01:20:00' THEN 'found' ELSE 'expired' END AS status,
 CASE WHEN created + ttl * INTERVAL 1 SECOND > TIMESTAMP '2024-01-01 01:20:00' THEN content END AS content FROM m LEFT JOIN s USING (hash)""")
 def marker_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows 79, 80, 411."""
-    d = table(spark, sf_dir, "documents").select("doc_id")
-    marked = d.select("doc_id", F.concat(F.lit("see hash="), text.short_hash((F.col("doc_id") % 97).cast("string")), F.lit(" there")).alias("t"))
-    created = F.to_timestamp(F.lit("2024-01-01")) + F.make_dt_interval(mins=F.col("doc_id").cast("int"))
-    store = d.where("doc_id < 80").select(text.short_hash(F.col("doc_id").cast("string")).alias("hash"), F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("content"), created.alias("created_at"), F.lit(3000).alias("ttl")).distinct()
+    """Rows 79, 80, 411: markers of all documents against a store of all pages."""
+    marked = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("see hash="), text.short_hash(F.col("doc_id").cast("string")), F.lit(" there")).alias("t"))
+    created = F.to_timestamp(F.lit("2024-01-01")) + F.make_dt_interval(mins=F.col("page_id").cast("int"))
+    store = table(spark, sf_dir, "pages").select(text.short_hash(F.col("page_id").cast("string")).alias("hash"), F.col("url").alias("content"), created.alias("created_at"), F.lit(3000).alias("ttl")).distinct()
     return memory.resolve(agents.marker_hashes(marked, "doc_id", F.col("t")), store, F.to_timestamp(F.lit("2024-01-01 01:20:00")))
 
 
@@ -58,11 +57,10 @@ def likely_typos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agents.likely_typos(table(spark, sf_dir, "part"), ["p_brand", "p_size"], "p_name", "p_partkey")
 
 
-@query("""WITH r AS (SELECT DISTINCT o_custkey % 60 AS a, o_orderkey % 60 AS b FROM orders WHERE o_orderkey % 11 = 0) SELECT a, b FROM r WHERE NOT EXISTS (SELECT 1 FROM r x WHERE x.a = r.b AND x.b = r.a)""")
+@query("""WITH r AS (SELECT DISTINCT o_custkey AS a, o_orderkey AS b FROM orders) SELECT a, b FROM r WHERE NOT EXISTS (SELECT 1 FROM r x WHERE x.a = r.b AND x.b = r.a)""")
 def kept_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row 87."""
-    r = table(spark, sf_dir, "orders").where("o_orderkey % 11 = 0").select((F.col("o_custkey") % 60).alias("a"), (F.col("o_orderkey") % 60).alias("b")).distinct()
-    return agents.without_contradictions(r)
+    return agents.without_contradictions(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("a"), F.col("o_orderkey").alias("b")).distinct())
 
 
 @query("""WITH d AS (SELECT event_type, event_id AS direct, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS turn FROM events WHERE event_id % 2 = 0), p AS (SELECT event_type, event_id AS proxied, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS turn FROM events WHERE event_id % 2 = 1)
@@ -102,13 +100,14 @@ def compression_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests(spark, sf_dir).groupBy(agents.decision(F.col("mode") == "audit", F.col("before"), 2500, supported).alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query(r"""WITH u AS (SELECT page_id, url || CASE page_id % 3 WHEN 0 THEN '?utm_source=a&id=' || page_id || '&ref=b' WHEN 1 THEN '?sig=x&utm_a=1' ELSE '' END AS url FROM pages WHERE url NOT LIKE '%#%' AND url NOT LIKE '%?%')
-SELECT page_id, CASE page_id % 3 WHEN 0 THEN split_part(url, '?', 1) || '?id=' || page_id ELSE url END AS url FROM u""")
+@query(r"""WITH u AS (SELECT page_id, url || CASE WHEN url LIKE '%?%' THEN '&' ELSE '?' END || CASE page_id % 3 WHEN 0 THEN 'utm_source=a&id=' || page_id || '&ref=b' WHEN 1 THEN 'sig=x&utm_a=1' ELSE 'fbclid=1' END AS url FROM pages),
+q AS (SELECT page_id, url, split_part(url, '?', 1) AS base, regexp_extract(url, '\?([^#]*)', 1) AS q, regexp_extract(url, '(#.*)$', 1) AS anchor FROM u),
+k AS (SELECT *, list_filter(string_split(q, '&'), lambda x: NOT regexp_matches(x, '(?i)^(utm_[a-z]+|gclid|fbclid|ref|mc_eid|igshid)(=|$)')) AS kept FROM q)
+SELECT page_id, CASE WHEN regexp_matches(q, '(?i)(^|&)(signature|sig|x-amz-signature|token)=') THEN url ELSE base || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END || anchor END AS url FROM k""")
 def clean_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row 19."""
-    tail = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("?utm_source=a&id="), F.col("page_id").cast("string"), F.lit("&ref=b"))).when(F.col("page_id") % 3 == 1, "?sig=x&utm_a=1").otherwise("")
-    p = table(spark, sf_dir, "pages").where("url NOT LIKE '%#%' AND url NOT LIKE '%?%'")
-    return p.select("page_id", agents.without_tracking(F.concat("url", tail)).alias("url"))
+    tail = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("utm_source=a&id="), F.col("page_id").cast("string"), F.lit("&ref=b"))).when(F.col("page_id") % 3 == 1, "sig=x&utm_a=1").otherwise("fbclid=1")
+    return table(spark, sf_dir, "pages").select("page_id", agents.without_tracking(F.concat("url", F.when(F.col("url").contains("?"), "&").otherwise("?"), tail)).alias("url"))
 
 
 @query("""WITH s AS (SELECT CAST(user_id AS VARCHAR) AS k, sum(CAST(floor(value) AS BIGINT)) AS v FROM events GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY v DESC, k) AS r FROM s) SELECT CASE WHEN r <= 8 THEN k ELSE 'other' END AS k, CAST(sum(v) AS BIGINT) AS v FROM r GROUP BY 1""")
@@ -140,11 +139,11 @@ def probe_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH g AS (SELECT CASE WHEN item_id % 2 = 0 THEN 'even' ELSE 'odd' END AS class, p.position, length(text) AS n, length(d) AS m, text, d, CASE p.position WHEN 'start' THEN text || ' ' || d WHEN 'end' THEN d || ' ' || text ELSE d || ' ' || text || ' ' || d END AS t
-FROM benchmark, (SELECT text AS d FROM documents WHERE doc_id < 5) c, (VALUES ('start'), ('middle'), ('end')) p(position)) SELECT class, position, count(*) AS cases, count(*) FILTER (contains(substr(t, 1, 500), text)) AS survived FROM g GROUP BY ALL""")
+FROM benchmark, (SELECT arg_max(text, (n_chars, doc_id)) AS d FROM documents GROUP BY lang) c, (VALUES ('start'), ('middle'), ('end')) p(position)) SELECT class, position, count(*) AS cases, count(*) FILTER (contains(substr(t, 1, 500), text)) AS survived FROM g GROUP BY ALL""")
 def survival_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Row 142."""
+    """Row 142: every item within the longest document of each language."""
     payloads = table(spark, sf_dir, "benchmark").select(F.when(F.col("item_id") % 2 == 0, "even").otherwise("odd").alias("class"), F.col("text").alias("payload"))
-    carriers = table(spark, sf_dir, "documents").where("doc_id < 5").select(F.col("text").alias("carrier"))
+    carriers = table(spark, sf_dir, "documents").groupBy("lang").agg(F.max_by("text", F.struct("n_chars", "doc_id")).alias("carrier")).select("carrier")
     return agents.grid(payloads, carriers, ["start", "middle", "end"], F.substring("text", 1, 500).contains(F.col("payload")))
 
 
