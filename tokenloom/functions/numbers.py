@@ -1,4 +1,4 @@
-"""Arithmetic rules (inventory rows 57, 59, 124, 129, 130, 165, 166, 170, 180, 213, 287, 294, 327-329, 362, 468)."""
+"""Arithmetic rules (inventory rows 57, 59, 124, 165, 166, 170, 180, 287, 294, 329, 362, 468)."""
 
 from __future__ import annotations
 

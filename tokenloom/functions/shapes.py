@@ -1,4 +1,4 @@
-"""Columns over single texts and values (inventory rows 60, 67, 69, 75, 201, 217, 233, 234, 246, 249, 281, 303, 304, 311-313, 320, 322, 324-327, 330, 359, 413, 417, 421, 448, 451, 455)."""
+"""Columns over single texts and values (inventory rows 69, 201, 217, 234, 303, 304, 311, 313, 320, 322, 324-326, 330, 359, 413, 417, 455)."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Text measures and rewrites (inventory rows 98, 239, 246, 250, 269, 271, 272, 281, 285-289, 297-299, 302, 304, 313, 314, 318, 319, 321)."""
+"""Text measures and rewrites (inventory rows 22, 98, 220, 239, 250, 259, 262, 271, 288, 289, 297, 298, 302, 308, 314, 319, 321)."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Messages, tools, routing, stores and evaluations (inventory rows 3, 4, 7, 19, 39, 60, 68, 70, 74, 76-80, 85, 87, 89, 92, 103, 107, 110, 141-143, 198, 335, 339, 343, 345, 361, 376, 378, 444, 451)."""
+"""Messages, tools, routing, stores and evaluations (inventory rows 3, 4, 7, 19, 39, 68, 70-72, 74, 76-79, 85, 87, 89, 92, 103, 107, 110, 141-143, 335, 339, 343, 345, 361, 376, 378, 411, 444)."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""JSON arrays as rows: field statistics, outliers and what to keep (inventory rows 126, 173-175, 178-180, 183, 207, 214-216, 218-220, 224, 230, 235, 285)."""
+"""JSON arrays as rows: field statistics, outliers and what to keep (inventory rows 175, 178, 179, 183, 207, 215, 216, 219, 220, 285)."""
 
 from __future__ import annotations
 

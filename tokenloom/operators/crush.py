@@ -1,4 +1,4 @@
-"""What kind of array it is, whether sampling it is safe, and which items to keep (inventory rows 173-177, 193, 203, 208-214, 221).
+"""What kind of array it is, whether sampling it is safe, and which items to keep (inventory rows 146, 174, 176, 179, 193, 203, 207, 208, 211, 214, 220, 229, 318).
 
 Arrays are rows ``key, i`` with a column a field.  All statistics of all fields come from one long
 table, aggregated by (key, field); nothing collects an array.

@@ -1,4 +1,4 @@
-"""Texts as lines: folds, searches, logs (inventory rows 21, 22, 40-47, 160, 162, 240, 242, 245, 250-255, 267, 408)."""
+"""Texts as lines: folds, searches, logs (inventory rows 21, 40-47, 162, 240, 242, 250, 251, 254)."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Bitemporal memories, caches and graphs (inventory rows 35, 36, 79, 80, 165, 166, 169, 183, 189-191, 332-340, 342-345, 355, 360, 376)."""
+"""Bitemporal memories, caches and graphs (inventory rows 35, 79, 80, 94, 166, 169, 189-191, 333, 334, 336, 337, 340, 360)."""
 
 from __future__ import annotations
 

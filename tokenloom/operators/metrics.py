@@ -1,4 +1,4 @@
-"""Request metrics, rollups and savings (inventory rows 33, 34, 90, 91, 95-97, 100-103, 105, 106, 108, 109, 111, 115-118, 120, 128, 130, 136, 143, 150, 373)."""
+"""Request metrics, rollups and savings (inventory rows 33, 34, 90, 91, 95-97, 100-102, 105, 106, 108, 111, 115, 116, 118, 120, 128-130, 136, 150, 171)."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Lexical and vector ranking, set and text similarity (inventory rows 81, 82, 187, 188, 196, 197, 260-262, 264, 265, 267, 268, 302, 308, 309, 311, 358)."""
+"""Lexical and vector ranking, set and text similarity (inventory rows 81, 82, 187, 196, 197, 260, 265, 268, 308, 309)."""
 
 from __future__ import annotations
 

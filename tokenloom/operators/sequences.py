@@ -1,4 +1,4 @@
-"""Windows over ordered rows (inventory rows 84, 88, 131, 145-149, 151-154, 157-162, 167-169, 184, 348, 364)."""
+"""Windows over ordered rows (inventory rows 2, 84, 88, 131, 145-147, 151, 153, 154, 157-161, 163, 164, 167, 364)."""
 
 from __future__ import annotations
 

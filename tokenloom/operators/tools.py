@@ -1,4 +1,4 @@
-"""What is learnt of tools and sessions: usage patterns, hints, caches, savings (inventory rows 36-38, 93, 104, 109, 112-114, 117, 119, 121, 123-125, 127, 135, 137, 139, 140, 152, 168, 172, 192, 194, 195, 198, 341, 342, 355, 418, 443, 453)."""
+"""What is learnt of tools and sessions: usage patterns, hints, caches, savings (inventory rows 93, 109, 112, 113, 117, 119, 121-125, 127, 135, 137, 139, 140, 152, 168, 172, 192, 195, 198, 341, 342, 355, 453)."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Readers, in-column parsers and text sinks (inventory rows 5, 6, 8-12, 15, 24-26, 30-32, 113, 302, 317, 318)."""
+"""Readers, in-column parsers and text sinks (inventory rows 5, 6, 8-12, 15, 24, 26, 31, 32, 317)."""
 
 from __future__ import annotations
 

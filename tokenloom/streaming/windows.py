@@ -1,4 +1,4 @@
-"""Event-time windows and duplicates over streams (inventory rows 373, 374, 377, 381).
+"""Event-time windows and duplicates over streams (inventory rows 373, 374, 381).
 
 The functions take batch frames as well.  ``ts`` must be a TIMESTAMP for a watermark, so plain times are cast in UTC.
 """
