@@ -14,7 +14,7 @@ def values(spark, column, rows, kind="string"):
 
 
 def test_general_is_pythons(spark):
-    numbers = [0.0, 1.0, 12.5, 123.456, 1234.0, 12346.0, 9999.4, 0.5, 0.01234, 0.00012346, 0.000012345, 1e-7, 1.5e20, -3.25, -0.001, 100.0]
+    numbers = [0.0, 1.0, 12.5, 123.456, 1234.0, 12346.0, 9999.4, 0.5, 0.01234, 0.00012346, 0.000012346, 1e-7, 1.5e20, -3.25, -0.001, 100.0]
     assert values(spark, shapes.general, numbers, "double") == [f"{x:.4g}" for x in numbers]
 
 
