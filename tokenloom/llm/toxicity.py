@@ -101,8 +101,12 @@ def word_rows(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.stack([(words.hashes >> shift).astype(np.int64), ((words.heads ^ np.uint64(0x5851F42D4C957F2D)) * np.uint64(0x2545F4914F6CDD1D) >> shift).astype(np.int64)], axis=1), words.first
 
 
-def _rows_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    return word_rows(*string_buffers(pa.array(texts, type=pa.string())))
+def _rows_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The same of any number of texts, a block at a time."""
+    offsets, data = string_buffers(texts)
+    parts = [word_rows(offsets[low : high + 1], data[offsets[low] : offsets[high]]) for low, high in blocks(offsets)]
+    counts = np.concatenate([np.zeros(0, dtype=np.int64), *(np.diff(first) for _, first in parts)])
+    return np.concatenate([np.zeros((0, 2), np.int32), *(rows.astype(np.int32) for rows, _ in parts)]), np.concatenate([[0], np.cumsum(counts)])
 
 
 def _by_words(texts: np.ndarray, first: np.ndarray) -> Iterator[np.ndarray]:
@@ -167,8 +171,9 @@ def _fit_filters(rows: np.ndarray, first: np.ndarray, labels: np.ndarray, rng: n
     """Adam on the logistic loss; a step touches the filters and the embeddings where a filter had its maximum."""
     size = 1 << BUCKETS_BITS
     n = len(labels)
-    text = np.repeat(np.arange(n), np.diff(first))
-    texts_with = np.bincount(np.unique((text[:, None] * size + rows).ravel()) % size, minlength=size)
+    texts_with = np.zeros(size, dtype=np.int64)
+    for i in range(n):
+        texts_with[np.unique(rows[first[i] : first[i + 1]])] += 1
     seen = texts_with > 1  # a word of one training text could only be learnt by heart; it weighs nothing, like one never seen
     table = (rng.standard_normal((size, DIMENSIONS)) * 0.05).astype(np.float32) * seen[:, None]
     params = {"bias": np.zeros(FILTERS * len(WIDTHS), np.float32), "weights": (rng.standard_normal(FILTERS * len(WIDTHS)) * 0.3).astype(np.float32), "constant": np.zeros(1, np.float32)}
@@ -213,7 +218,7 @@ def best_cut(z: np.ndarray, labels: np.ndarray) -> float:
     return float((edges[tied[0]] + edges[tied[-1] + 1]) / 2)
 
 
-def train(texts: list[str | None], labels: np.ndarray, languages: list[str | None], seed: int = 7) -> Model:
+def train(texts: list[str | None] | pa.Array, labels: np.ndarray, languages: list[str | None], seed: int = 7) -> Model:
     """A model of labelled texts; every fourth calibrates it."""
     labels = np.asarray(labels, dtype=np.float32)
     rng = np.random.default_rng(seed)
@@ -222,7 +227,8 @@ def train(texts: list[str | None], labels: np.ndarray, languages: list[str | Non
         z = np.zeros((1 << BUCKETS_BITS, DIMENSIONS), np.float32)
         shift = -30.0 if share == 0 else float(np.log(share / max(1 - share, 1e-9)))
         return Model(z, {w: np.zeros((w, DIMENSIONS, FILTERS), np.float32) for w in WIDTHS}, np.zeros(FILTERS * len(WIDTHS), np.float32), np.zeros(FILTERS * len(WIDTHS), np.float32), 0.0, 0.0, max(shift, -30.0))
-    rows, first = _rows_of(texts)
+    rows, first = _rows_of(pa.array(texts, type=pa.string()) if isinstance(texts, list) else texts)
+    del texts
     fold = np.zeros(len(labels), dtype=bool)
     for y in (0, 1):
         own = rng.permutation(np.flatnonzero(labels == y))
@@ -259,8 +265,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, where: Column | None = N
 
 
 def fit(docs: DataFrame, labels: DataFrame, where: Column | None = None, size: int = SAMPLE) -> Model:
-    sample = labelled_sample(docs, labels, where, size).toArrow().to_pandas()
-    return train(sample["text"].tolist(), sample["toxic"].to_numpy(), sample["lang"].tolist())
+    sample = labelled_sample(docs, labels, where, size).toArrow()
+    return train(sample["text"].combine_chunks(), sample["toxic"].to_numpy(), sample["lang"].to_pylist())
 
 
 def _scores(model: Model, texts: pa.Array) -> np.ndarray:
