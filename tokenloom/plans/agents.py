@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tokenloom.cluster import ship
@@ -244,13 +244,9 @@ def crushed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def turn_rouge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row 309: how much of a turn's words, in order, the turn before had."""
     ship(spark)
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", text.words(F.col("text")).alias("w"))
-
-    def rule(pdf: pd.DataFrame) -> pd.DataFrame:
-        w = [list(x) for x in pdf["w"]]
-        return pd.DataFrame({"conv_id": pdf["conv_id"], "turn": pdf["turn"], "rouge": [0.0, *(greedy.rouge_l(a, b) for a, b in zip(w, w[1:]))]})  # noqa: B905
-
-    return greedy.by_group(c, "conv_id", ["turn"], rule, "conv_id long, turn long, rouge double")
+    before = F.lag("w").over(Window.partitionBy("conv_id").orderBy("turn"))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce(text.words(F.col("text")), F.array().cast("array<string>")).alias("w")).withColumn("before", before)
+    return c.select("conv_id", "turn", F.when(F.col("before").isNull(), 0.0).otherwise(greedy.rouge_column("before", "w")).alias("rouge"))
 
 
 @query()
