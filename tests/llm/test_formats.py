@@ -185,6 +185,16 @@ def test_transcripts(spark):
     assert all(r.rendered == f"<|im_start|>{r.role}\n{r.text}<|im_end|>\n" for r in got)
 
 
+def test_roles_of_held_out_conversations(spark, sf):
+    """A model of half of the conversations names the roles of the other half's turns."""
+    raw = transcripts.raw_transcripts(spark.read.parquet(f"{sf}/conversations.parquet"))
+    held = F.pmod(F.xxhash64("conv_id"), F.lit(2)) == 1
+    got = transcripts.parse(raw.where(held).drop("role"), transcripts.fit(raw.where(~held))).collect()
+    want = {(r.conv_id, r.turn): r.role for r in raw.where(held).collect()}
+    right = [want[(r.conv_id, r.turn)] == r.role for r in got if r.line_no == 0]
+    assert len(right) >= 0.9 * len(want) and np.mean(right) >= 0.95
+
+
 def test_odd_transcripts(spark):
     rows = [(None, 1, None), (None, None, "User: hi"), (1, 1, ""), (1, 1, ""), (2, 5, "Assistant: " + "w " * 20_000)]
     odd = spark.createDataFrame(rows, "conv_id long, turn long, text string")
