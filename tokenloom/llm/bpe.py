@@ -21,7 +21,7 @@ from tokenizers import Tokenizer
 from tokenloom.llm.textual import blocks, cut_long, mix
 
 #: Distinct pre-tokens a worker remembers (some 200 bytes each); later ones are encoded anew in each block.
-CACHE_SIZE = 400_000
+CACHE_SIZE = 200_000
 #: Begins the key of an opaque piece, and of a pre-token that the library cut out of one; plain ones have no control characters.
 MARK, CUT = b"\0", b"\1"
 SPACE, LETTER, DIGIT, OTHER, OPAQUE = range(5)
