@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tokenloom.functions.numbers import percent
+
 
 def filtered(requests: DataFrame, start=None, end=None, model: str | None = None, mode: str | None = None) -> DataFrame:
     """Rows 33 and 96: an inclusive time range, a model, a mode; what is None filters nothing."""
@@ -130,3 +132,9 @@ def period_cost(requests: DataFrame, prices: DataFrame, unit: str) -> DataFrame:
 def share(part: Column, whole: Column) -> Column:
     """Row 120: a hit rate, null where there was nothing."""
     return F.when(whole != 0, part / whole)
+
+
+def savings_snapshot(requests: DataFrame, by: str) -> DataFrame:
+    """Row 109: tokens saved and sent by ``by`` with the share saved, the largest savings first."""
+    each = requests.groupBy(by).agg(F.sum(F.col("before") - F.col("after")).alias("saved"), F.sum("after").alias("input"))
+    return each.withColumn("percent", percent(F.col("saved"), F.col("saved") + F.col("input"), 2)).orderBy(F.desc("saved"), by)

@@ -26,6 +26,12 @@ def anomalies(values: DataFrame, by: str, value: str, deviations: float = 2.0) -
     return values.join(stats, by).where((F.col("sd") > 0) & (F.abs(F.col(value) - F.col("mean")) > deviations * F.col("sd"))).drop("mean", "sd")
 
 
+def statistics(values: DataFrame, by: str, value: str) -> DataFrame:
+    """Rows 148 and 149: mean, sample variance and deviation, median and quartiles between neighbours; null where a group has too few values."""
+    quantile = lambda q, name: F.percentile(value, q).alias(name)
+    return values.groupBy(by).agg(F.avg(value).alias("mean"), F.var_samp(value).alias("variance"), F.stddev_samp(value).alias("deviation"), quantile(0.5, "median"), quantile(0.25, "p25"), quantile(0.75, "p75"))
+
+
 def bigram_curve(items: DataFrame, by: str, order: str, words: Column) -> DataFrame:
     """Row 153: after each item, how many different word pairs there have been; a single word counts as one."""
     from tokenloom.functions.text import ngrams
