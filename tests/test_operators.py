@@ -72,3 +72,15 @@ def test_markers(spark):
     store = spark.createDataFrame([("h1", "x", datetime.datetime(2024, 1, 1), 60), ("h2", "y", datetime.datetime(2023, 1, 1), 60)], "hash string, content string, created_at timestamp, ttl long")
     got = memory.resolve(spark.createDataFrame([(1, "h1"), (1, "h2"), (2, "h3")], "doc_id long, hash string"), store, F.to_timestamp(F.lit("2024-01-01 00:00:30")))
     assert {(r.hash, r.status) for r in got.collect()} == {("h1", "found"), ("h2", "expired"), ("h3", "missing")}
+
+
+def test_statistics_and_snapshot(spark):
+    v = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", None), ("b", 4.0), ("c", None), (None, 3.0)], "k string, v double")
+    got = {r.k: r for r in sequences.statistics(v, "k", "v").collect()}
+    assert (got["a"].mean, got["a"].variance, got["a"].median, got["a"].p25, got["a"].p75) == (1.5, 0.5, 1.5, 1.25, 1.75)
+    assert (got["b"].mean, got["b"].variance, got["b"].deviation) == (4.0, None, None)
+    assert (got["c"].mean, got["c"].median) == (None, None) and got[None].median == 3.0
+    assert not sequences.statistics(v.limit(0), "k", "v").count()
+    r = spark.createDataFrame([("x", 10, 4), ("x", 10, 6), ("y", 0, 0), (None, 8, 2)], "m string, before long, after long")
+    assert [tuple(x) for x in metrics.savings_snapshot(r, "m").collect()] == [("x", 10, 10, 50.0), (None, 6, 2, 75.0), ("y", 0, 0, 0.0)]
+    assert not metrics.savings_snapshot(r.limit(0), "m").count()
