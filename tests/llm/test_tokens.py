@@ -108,3 +108,17 @@ def test_plan_does_not_grow_with_the_pieces():
     rng = np.random.default_rng(0)
     shape = {int(n): int(c) for n, c in zip(range(1, 4097), rng.integers(1, 50, 4096), strict=True)}
     assert len(pack_lengths({n: 1000 * c for n, c in shape.items()}, 4096)) < 3 * len(pack_lengths(shape, 4096)) + 100
+
+
+BLANKS = [["   "], ["\n", " ", None], ["", None], [" " * 3_000_000], ["a" + "\t \n" * 1_000_000 + "b", "\r\n"]]
+
+
+@pytest.mark.parametrize("texts", BLANKS, ids=range(len(BLANKS)))
+def test_white_space_only(spark, texts):
+    """Tables, batches and long runs of white space count, pack and read back as the library's ids."""
+    t = Tokenizer.from_file(default_vocabulary())
+    want = {i: t.encode(x or "", add_special_tokens=False).ids for i, x in enumerate(texts)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    assert {r.doc_id: r.n_tokens for r in token_counts(docs).collect()} == {i: len(x) for i, x in want.items()}
+    assert {r.doc_id: r.ids_crc32 for r in read_token_files(*write_token_files(docs)).collect()} == {i: crc(x + [2]) for i, x in want.items()}
+    assert {r.doc_id: r.ids_crc32 for r in pack(docs).collect()} == {i: crc(x + [1]) for i, x in want.items()}

@@ -132,6 +132,8 @@ def pre_tokens(offsets: np.ndarray, data: np.ndarray) -> PreTokens:
                     begins[q + 1 + len(c)] = True
                 break
     start = np.flatnonzero(begins)
+    if not len(start):  # white space only
+        return PreTokens(start, start, [])
     last = ~space
     last[:-1] &= begins[1:] | space[1:]
     stop = np.flatnonzero(last) + 1
