@@ -10,15 +10,16 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
-#: Rows of an Arrow batch, where the session keeps Spark's default: whole documents come in batches of a few MB, so that
+#: Rows and bytes of an Arrow batch, where the session says nothing: whole documents come in batches of a few MB, so that
 #: two Python workers and their JVM fit a small executor.
-BATCH = ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000")
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends the package to the executors, once for each application, for Arrow functions import it there; sets ``BATCH``."""
-    if spark.conf.get(BATCH[0]) == BATCH[1]:
-        spark.conf.set(BATCH[0], BATCH[2])
+    """Sends the package to the executors, once for each application, for Arrow functions import it there; sets ``BATCH`` where the session leaves it open."""
+    for key, value in BATCH.items():
+        if spark.conf.get(key, "1") == "1":  # what is asked for comes back where the session has no value
+            spark.conf.set(key, value)
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return
