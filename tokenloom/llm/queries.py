@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenloom.cluster import ship
-from tokenloom.llm import toxicity, transcripts, warc
+from tokenloom.llm import merkle, toxicity, transcripts, warc
 from tokenloom.llm.decontaminate import contaminated
+from tokenloom.llm.line_dedup import without_common_lines
 from tokenloom.llm.media import media_column, probe_column
 from tokenloom.llm.near_dedup import near_duplicates
 from tokenloom.llm.packing import pack
@@ -83,6 +84,26 @@ def op10_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transcripts.parse(raw.drop("role"), transcripts.fit(raw))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of all documents, and whether each row, some of them tampered with, still leads to the root."""
+    docs = table(spark, sf_dir, "documents")
+    c = {name: F.col(name) for name in ("doc_id", "source", "lang", "n_chars", "text")}
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    seen = merkle.leaf(*[F.replace(c[n], F.lit("\n"), F.lit("")) if n == "text" else c[n] for n in c])
+    leaves = docs.select("doc_id", "source", merkle.leaf(*c.values()).alias("leaf"), F.when(tampered, seen).alias("seen"))
+    rows = merkle.manifest(leaves, "source", ["doc_id"], arity=3)
+    hexes = [merkle.hexed(F.col(c)).alias(c) for c in ("leaf", "subroot", "root")]
+    own = merkle.hexed(F.coalesce("seen", "leaf"))
+    rows = rows.select("doc_id", *hexes, F.sha2(merkle.proof(F.col("path")), 256).alias("proof_sha256"), merkle.folded(own, F.col("path")).alias("folded_root"))
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the lines that ten documents or more hold."""
+    left = without_common_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), at_least=10, least_chars=1)
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
@@ -94,6 +115,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media": op8_media,
     "op9_repeats": op9_repeats,
     "op10_transcripts": op10_transcripts,
+    "op11_merkle": op11_merkle,
+    "op13_line_dedup": op13_line_dedup,
 }
 
 #: DuckDB SQL, brute force; the others are tested against the tokenizer library and exact round trips.
@@ -131,5 +154,58 @@ SELECT p.page_id, p.payload_bytes, p.payload_digest,
        CASE WHEN owner <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN owner <> page_id THEN owner END AS refers_to
 FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest AND p.payload_bytes >= 100
+""",
+    "op11_merkle": r"""
+WITH RECURSIVE fields AS (
+  SELECT doc_id, source,
+         xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: CAST(ascii(CAST(doc_id AS VARCHAR)[i]) AS BIGINT))),
+             lambda a, y: list_reduce(list_prepend(xor(a, y), CAST(range(8) AS BIGINT[])), lambda b, z: xor(b >> 1, CASE WHEN b & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295) AS crc,
+         list_transform([CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR)], lambda x: CASE WHEN x IS NULL THEN '-' ELSE strlen(x) || ':' || x END) AS f,
+         text, replace(text, chr(10), '') AS tampered
+  FROM documents
+), leaves AS (
+  SELECT doc_id, source, crc, sha256(array_to_string(f, '') || CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END) AS leaf,
+         sha256(array_to_string(f, '') || CASE WHEN text IS NULL THEN '-' ELSE strlen(tampered) || ':' || tampered END) AS seen
+  FROM fields
+), placed AS (
+  SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM leaves
+), tree AS (
+  SELECT 0 AS t, g, i, n, leaf AS d FROM placed
+  UNION ALL
+  SELECT t + 1, g, i // 3, max((n + 2) // 3), sha256(string_agg(d, '' ORDER BY i)) FROM tree WHERE n > 1 GROUP BY t, g, i // 3
+), subroots AS (SELECT g, d FROM tree WHERE n = 1),
+runs AS (SELECT t, g, i // 3 AS p, list(d ORDER BY i) AS ds FROM tree WHERE n > 1 GROUP BY ALL),
+top AS (
+  SELECT 0 AS t, g AS i, (SELECT count(*) FROM subroots) AS n, d FROM subroots
+  UNION ALL
+  SELECT t + 1, i // 3, max((n + 2) // 3), sha256(string_agg(d, '' ORDER BY i)) FROM top WHERE n > 1 GROUP BY t, i // 3
+), upper_runs AS (SELECT t, i // 3 AS p, list(d ORDER BY i) AS ds FROM top WHERE n > 1 GROUP BY ALL),
+low AS (
+  SELECT doc_id, 0 AS t, g, i, CASE WHEN crc % 2 = 0 THEN seen ELSE leaf END AS d, '' AS proof, n = 1 AS ended, n FROM placed
+  UNION ALL
+  SELECT doc_id, t + 1, g, i // 3, sha256(array_to_string(ds[1:i % 3], '') || d || array_to_string(ds[i % 3 + 2:], '')),
+         proof || array_to_string(ds[1:i % 3], '') || array_to_string(ds[i % 3 + 2:], ''), n <= 3, (n + 2) // 3
+  FROM low JOIN runs r USING (t, g) WHERE NOT ended AND r.p = i // 3
+), high AS (
+  SELECT doc_id, 0 AS t, g AS i, d, proof, (SELECT count(*) FROM subroots) AS n FROM low WHERE ended
+  UNION ALL
+  SELECT doc_id, t + 1, i // 3, sha256(array_to_string(ds[1:i % 3], '') || d || array_to_string(ds[i % 3 + 2:], '')),
+         proof || array_to_string(ds[1:i % 3], '') || array_to_string(ds[i % 3 + 2:], ''), (n + 2) // 3
+  FROM high JOIN upper_runs r USING (t) WHERE n > 1 AND r.p = i // 3
+), root AS (SELECT d AS root FROM top WHERE n = 1)
+SELECT p.doc_id, p.leaf, s.d AS subroot, root, sha256(h.proof) AS proof_sha256, h.d AS folded_root, h.d = root AS verified
+FROM placed p JOIN subroots s ON s.g = p.g JOIN high h ON h.doc_id = p.doc_id AND h.n = 1 CROSS JOIN root
+""",
+    "op13_line_dedup": r"""
+WITH lines AS (
+  SELECT doc_id, generate_subscripts(l, 1) AS place, unnest(l) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)
+), keyed AS (
+  SELECT *, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines
+), common AS (
+  SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY 1 HAVING count(DISTINCT doc_id) + count(*) FILTER (doc_id IS NULL) >= 10
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (c.key IS NOT NULL) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (c.key IS NULL), '')) AS kept_sha256
+FROM keyed k LEFT JOIN common c ON c.key = k.key GROUP BY doc_id
 """,
 }
