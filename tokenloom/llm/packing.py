@@ -31,7 +31,7 @@ from pyspark.taskcontext import TaskContext
 from tokenloom.llm.bpe import default_vocabulary, encoder
 from tokenloom.llm.scratch import Scratch
 from tokenloom.llm.textual import string_buffers
-from tokenloom.llm.token_files import encode_rows
+from tokenloom.llm.token_files import ids_and_texts, row_encoder
 
 PIECE = "doc_id long, piece int, start long, length int, ids_crc32 long, task int, turn long"
 
@@ -174,8 +174,9 @@ def pack(docs: DataFrame, capacity: int = 4096, end: int = 1, vocabulary: str |
     vocabulary = vocabulary or default_vocabulary()
     scratch = Scratch(spark, "packing")
     width = encoder(vocabulary).dtype.itemsize
-    ids = encode_rows(docs, vocabulary, end).select("doc_id", "ids")
-    pieces = scratch.save(ids.mapInArrow(_pieces(capacity, width), PIECE), "pieces")
+    encode, cut = row_encoder(vocabulary, end), _pieces(capacity, width)
+    # both in one worker: a second one a task would stay idle with memory of its own
+    pieces = scratch.save(ids_and_texts(docs).mapInArrow(lambda batches: cut(encode(batches)), PIECE), "pieces")
     by_task = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     # at most one row a task for each length, whatever the number of pieces

@@ -35,8 +35,8 @@ from tokenloom.llm.textual import blocks, string_buffers
 MANIFEST = "part int, base long, documents long, nulls long, ids long, width int"
 
 
-def encode_rows(docs: DataFrame, vocabulary: str, end: int | None, bounds: list[int] | None = None) -> DataFrame:
-    """``doc_id, part, ids`` of every row, ids as bytes; part is the number of ``bounds`` below doc_id."""
+def row_encoder(vocabulary: str, end: int | None, bounds: list[int] | None = None):
+    """A function from batches of ``doc_id, text`` to batches of ``doc_id, part, ids``, ids as bytes; part is the number of ``bounds`` below doc_id."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = encoder(vocabulary)
@@ -52,8 +52,16 @@ def encode_rows(docs: DataFrame, vocabulary: str, end: int | None, bounds: list[
                 part = np.searchsorted(edges, keys.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)) if len(edges) else np.zeros(high - low, dtype=np.int64)
                 yield pa.RecordBatch.from_arrays([keys, pa.array(part.astype(np.int32)), pa.array(own, type=pa.binary())], names=["doc_id", "part", "ids"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(encode, "doc_id long, part int, ids binary")
+    return encode
+
+
+def ids_and_texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def encode_rows(docs: DataFrame, vocabulary: str, end: int | None, bounds: list[int] | None = None) -> DataFrame:
+    """``doc_id, part, ids`` of every row."""
+    return ids_and_texts(docs).mapInArrow(row_encoder(vocabulary, end, bounds), "doc_id long, part int, ids binary")
 
 
 def _folder(uri: str) -> tuple[pafs.FileSystem, str]:
