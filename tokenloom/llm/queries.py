@@ -15,6 +15,8 @@ from tokenloom.llm.media import media_column, probe_column
 from tokenloom.llm.near_dedup import near_duplicates
 from tokenloom.llm.packing import pack
 from tokenloom.llm.passages import repeats
+from tokenloom.llm.prefix_trie import prefix_nodes, sequences
+from tokenloom.llm.scratch import Scratch
 from tokenloom.llm.token_counts import token_counts
 from tokenloom.llm.token_files import read_token_files, write_token_files
 
@@ -98,6 +100,21 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def rebuilt(rows: DataFrame, family: int = 100, most: int = 5) -> DataFrame:
+    """``sequences`` in which each conversation begins with the first h turns of the least conv_id of its hundred, h being crc32 of its id modulo ``most`` + 1."""
+    own = Scratch(rows.sparkSession, "rebuilt").save(rows, "own")
+    heads = own.where(F.col("conv_id") % family == 0).select(F.col("conv_id").alias("base"), *[F.slice(c, 1, most).alias(f"head_{c}") for c in ("keys", "chars")])
+    h = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % (most + 1)).cast("int")
+    met = own.withColumns({"h": h, "base": F.col("conv_id") - F.col("conv_id") % family}).join(heads, "base", "left")
+    whole = [F.concat(F.coalesce(F.slice(f"head_{c}", F.lit(1), F.col("h")), F.slice(c, 1, 0)), F.slice(c, F.col("h") + 1, F.size(c))).alias(c) for c in ("keys", "chars")]
+    return met.select("conv_id", *whole)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of the conversations as rebuilt from shared beginnings."""
+    return prefix_nodes(rebuilt(sequences(table(spark, sf_dir, "conversations"))))
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without the lines that ten documents or more hold."""
     left = without_common_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), at_least=10, least_chars=1)
@@ -116,6 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_repeats": op9_repeats,
     "op10_transcripts": op10_transcripts,
     "op11_merkle": op11_merkle,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_line_dedup": op13_line_dedup,
 }
 
@@ -195,6 +213,32 @@ low AS (
 ), root AS (SELECT d AS root FROM top WHERE n = 1)
 SELECT p.doc_id, p.leaf, s.d AS subroot, root, sha256(h.proof) AS proof_sha256, h.d AS folded_root, h.d = root AS verified
 FROM placed p JOIN subroots s ON s.g = p.g JOIN high h ON h.doc_id = p.doc_id AND h.n = 1 CROSS JOIN root
+""",
+    "op12_prefix_trie": r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos FROM conversations
+), c AS (
+  SELECT conv_id, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(s) + 1), lambda i: CAST(ascii(s[i]) AS BIGINT))),
+         lambda a, y: list_reduce(list_prepend(xor(a, y), CAST(range(8) AS BIGINT[])), lambda b, z: xor(b >> 1, CASE WHEN b & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295) % 6 AS h
+  FROM (SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR) AS s FROM conversations)
+), r AS (
+  SELECT c.conv_id, pos, role, text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 100 AND pos <= h
+  UNION ALL SELECT c.conv_id, pos, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND pos > h
+), s AS (
+  SELECT conv_id, 0 AS depth, '' AS path, 0 AS chars FROM c
+  UNION ALL
+  SELECT conv_id, row_number() OVER w, string_agg(sha256(strlen(role) || ':' || role || text), '') OVER w, length(text) FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY pos)
+), node AS (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n, any_value(chars) AS chars FROM s GROUP BY path, depth),
+ends AS (SELECT path, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS ends FROM (SELECT conv_id, arg_max(path, depth) AS path FROM s GROUP BY 1) GROUP BY 1),
+kids AS (SELECT substr(path, 1, 64 * (depth - 1)) AS path, count(*) AS n FROM node WHERE depth > 0 GROUP BY 1),
+below AS (
+  SELECT substr(path, 1, 64 * k) AS path, sum(CASE WHEN leaf THEN 1 ELSE 0 END) AS leaves, sum(saved) AS saved
+  FROM (SELECT node.path, (node.n - 1) * chars AS saved, kids.n IS NULL AS leaf, unnest(range(depth + 1)) AS k FROM node LEFT JOIN kids ON kids.path = node.path) GROUP BY 1
+)
+SELECT node.conv_id, CAST(node.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, node.n AS n_convs, coalesce(kids.n, 0) AS n_children,
+       CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, coalesce(ends, sha256('')) AS ends_sha256
+FROM node JOIN below ON below.path = node.path LEFT JOIN kids ON kids.path = node.path LEFT JOIN ends ON ends.path = node.path
+LEFT JOIN node p ON node.depth > 0 AND p.path = substr(node.path, 1, 64 * (node.depth - 1))
 """,
     "op13_line_dedup": r"""
 WITH lines AS (
