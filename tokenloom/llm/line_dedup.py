@@ -38,7 +38,8 @@ def exploded_lines(docs: DataFrame, least_chars: int = 1) -> DataFrame:
     ``a, b`` name the row's doc_id and text, ``h, g`` the line's key.
     """
     a, b = two_hashes(F.col("doc_id"), F.col("text"))
-    lines = docs.select(a.alias("a"), b.alias("b"), "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("place", "line"))
+    named = docs.select(a.alias("a"), b.alias("b"), "doc_id", "text")  # before the lines are, or each would hash the text again
+    lines = named.select("a", "b", "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("place", "line"))
     keyed = lines.select("a", "b", "doc_id", "place", line_key(F.col("line")).alias("key")).where(F.length("key") >= least_chars)
     h, g = two_hashes(F.col("key"))
     return keyed.select("a", "b", "doc_id", "place", h.alias("h"), g.alias("g"))
