@@ -167,9 +167,9 @@ def window_contribution(rows: DataFrame, key: str, at: str, value: str, window:
     return rows.groupBy(key, F.window(at, window)["start"].alias("start")).agg(F.sum(value).alias("saved"))
 
 
-def discrepancies(windows: DataFrame, surge: float = 15.0, alert: float = 30.0) -> DataFrame:
+def discrepancies(windows: DataFrame, surge: float = 15.0, alert: float = 30.0, digits: int = 2) -> DataFrame:
     """Row 137: use that is reported above what the tokens make of the limit."""
     expected = F.col("tokens") / F.col("limit") * 100
     delta = F.col("reported") - expected
-    flagged = windows.where((F.col("limit") > 0) & (F.col("tokens") > 0)).withColumns({"expected": F.round(expected, 2), "delta": F.round(delta, 2), "severity": F.when(delta < alert, "warning").otherwise("alert")})
+    flagged = windows.where((F.col("limit") > 0) & (F.col("tokens") > 0)).withColumns({"expected": F.round(expected, digits), "delta": F.round(delta, digits), "severity": F.when(delta < alert, "warning").otherwise("alert")})
     return flagged.where(delta > surge)

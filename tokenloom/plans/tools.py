@@ -102,7 +102,7 @@ def slowest_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _staged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax").agg(F.count("*").alias("n"))
+    li = table(spark, sf_dir, "lineitem")
     seconds = F.create_map(F.lit("parse"), F.col("l_quantity").cast("double"), F.lit("route"), F.col("l_discount").cast("double") * 300, F.lit("pack"), F.col("l_tax").cast("double") * 500)
     return li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), seconds.alias("stages"))
 
@@ -184,11 +184,11 @@ def window_savings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH w AS (SELECT c_custkey AS id, CAST(c_nationkey AS DOUBLE) * 1000 AS "limit", CAST(floor(c_acctbal) AS DOUBLE) AS tokens, c_custkey % 200 AS reported FROM customer), d AS (SELECT *, tokens / "limit" * 100 AS e FROM w WHERE "limit" > 0 AND tokens > 0)
-SELECT id, round(e, 2) AS expected, round(reported - e, 2) AS delta, CASE WHEN reported - e < 30 THEN 'warning' ELSE 'alert' END AS severity FROM d WHERE reported - e > 15""")
+SELECT id, round(e, 6) AS expected, round(reported - e, 6) AS delta, CASE WHEN reported - e < 30 THEN 'warning' ELSE 'alert' END AS severity FROM d WHERE reported - e > 15""")
 def quota_discrepancies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row 137."""
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_nationkey").cast("double") * 1000).alias("limit"), F.floor("c_acctbal").cast("double").alias("tokens"), (F.col("c_custkey") % 200).alias("reported"))
-    return tools.discrepancies(c).select("id", "expected", "delta", "severity")
+    return tools.discrepancies(c, digits=6).select("id", "expected", "delta", "severity")
 
 
 @query("""SELECT role, count(*) AS turns, count(DISTINCT conv_id) AS conversations, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY 1""")
