@@ -77,7 +77,7 @@ def plain_fold(texts, least, least_chars, protected):
 
 def made(seed):
     rng = random.Random(seed)
-    pool = [f"line {k} of the file with some words" for k in range(30)] + ["", "x", "[[3 lines of block 0 from 1, numbers +0]]", "\\[[3 lines of block 0", "{", "}", "}"]
+    pool = [f"line {k} of the file with some words" for k in range(30)] + ["", "x", "[[3 lines of block 0 from 1, numbers +0]]", "\\[[3 lines of block 0", "{", "}", "}", "end\r", "[[3 lines of block 0 from 1, numbers +0]]\r"]
     rows = []
     for s in ("a", "b"):
         base = [rng.choice(pool) for _ in range(40)]

@@ -20,7 +20,7 @@ from tokenloom.operators.skew import join_counted
 #: A line number before a line: blanks, digits, one of tab, colon, bar or arrow.
 NUMBER = r"^( *)(0|[1-9][0-9]{0,8})([\t:|→])"
 #: A pointer's line, as it is written and as it is told from text that looks like one.
-POINTER = r"^\[\[([0-9]+) lines of block ([0-9]+) from ([0-9]+), numbers ([+-][0-9]+)\]\]$"
+POINTER = r"^\[\[([0-9]+) lines of block ([0-9]+) from ([0-9]+), numbers ([+-][0-9]+)\]\]\z"
 ALIKE = r"^\\*\[\[[0-9]+ lines of block "
 #: Stands for a line without a number among distances.
 _NONE = -(1 << 40)
