@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tokenloom.functions import numbers, text
-from tokenloom.operators import arrays, lines, memory, metrics, ranking, sequences
+from tokenloom.operators import arrays, lines, memory, metrics, neighbours, ranking, sequences
 
 
 def one(spark, **columns):
@@ -45,13 +45,13 @@ def test_empty_tables(spark):
     assert metrics.summary(requests).first()["total_requests"] == 0
     assert metrics.ledger(requests).count() in (0, 1)
     assert sequences.loops(spark.createDataFrame([], "session long, signature string, is_error boolean, bytes long"), 2).count() == 0
-    assert ranking.bm25(spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "query_id long, text string")).count() == 0
+    assert neighbours.bm25_best(spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "query_id long, text string"), 3).count() == 0
 
 
 def test_ties_keep_the_first(spark):
     rows = spark.createDataFrame([(1, i, 5.0) for i in range(6)], "k long, i long, s double")
     assert [r.i for r in sequences.first_last_best(rows, "k", "i", "s", 3).orderBy("i").collect()] == [0, 1, 5]
-    assert [r.vec_id for r in ranking.top(spark.createDataFrame([(1, 9, 1.0), (1, 3, 1.0)], "q long, vec_id long, s double"), "q", "s", "vec_id", 1).collect()] == [3]
+    assert [r.vec_id for r in neighbours.best(spark.createDataFrame([(1, 9, 1.0), (1, 3, 1.0)], "q long, vec_id long, s double"), "q", "s", "vec_id", 1).collect()] == [3]
 
 
 def test_dedup_tells_null_from_absent_text(spark):

@@ -1,77 +1,12 @@
-"""Lexical and vector ranking, set and text similarity (inventory rows 81, 82, 187, 196, 197, 260, 265, 268, 308, 309)."""
+"""Set and text similarity (inventory rows 196, 197, 268, 308, 309)."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokenloom.functions.text import ngrams, words
 
-K1, B = 1.5, 0.75
-
-
-#: Query vectors that are broadcast at once.
-QUERY_BLOCK = 4096
-
-
-def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """Rows 260 and 265: ``doc_id, query_id, score`` of every document with a query term.
-
-    idf = ln((N - n + 0.5) / (n + 0.5) + 1), k1 1.5, b 0.75; a query's term counts once.  Only the
-    documents' own terms are exploded; the shuffle carries (term, document, frequency).
-    """
-    tokens = docs.select("doc_id", words(F.col("text")).alias("w"))
-    sizes = tokens.agg(F.count("*").alias("docs"), F.avg(F.size("w")).alias("mean"))
-    terms = queries.select("query_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
-    tf = tokens.select("doc_id", F.size("w").alias("length"), F.explode("w").alias("term")).join(terms.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    return terms.join(tf, "term").join(df, "term").crossJoin(F.broadcast(sizes)).groupBy("query_id", "doc_id").agg(F.sum(weight).alias("score"))  # sizes is one row
-
-
-def top(scores: DataFrame, by: str, score: str, tie: str, k: int) -> DataFrame:
-    """The best k of each group; ties by id."""
-    w = Window.partitionBy(by).orderBy(F.desc(score), tie)
-    return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def cosine(a: Column, b: Column) -> Column:
-    """0 for a vector of zeros."""
-    wide = lambda v: F.transform(v, lambda x: x.cast("double"))
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    a, b = wide(a), wide(b)
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norm > 0, dot(a, b) / norm).otherwise(F.lit(0.0))
-
-
-def similar(vectors: DataFrame, queries: DataFrame, least: float, block: int = QUERY_BLOCK) -> DataFrame:
-    """``query_id, vec_id, similarity`` of all vectors at ``least`` to the queries, in blocks of so many queries.
-
-    What is broadcast at once is a block, about ``block`` rows; the vectors are read once for each.
-    """
-    each = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    parts = max(1, -(-each.count() // block))
-    blocks = [each.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i) for i in range(parts)]
-    found = [vectors.crossJoin(F.broadcast(b)).where("vec_id != query_id").select("query_id", "vec_id", cosine(F.col("q"), F.col("embedding")).alias("similarity")).where(F.col("similarity") >= least) for b in blocks]
-    return reduce(DataFrame.union, found)
-
-
-def vector_top(vectors: DataFrame, queries: DataFrame, k: int, least: float = 0.0) -> DataFrame:
-    """Rows 81 and 187: exact nearest neighbours of a stated set of queries."""
-    return top(similar(vectors, queries, least), "query_id", "similarity", "vec_id", k)
-
-
-def hybrid(vector: DataFrame, text: DataFrame, vector_weight: float = 0.7) -> DataFrame:
-    """Row 82: weighted cosine and scaled text score; what one side lacks counts 0."""
-    best = text.groupBy("query_id").agg(F.max("score").alias("best"))
-    scaled = text.join(best, "query_id").select("query_id", "doc_id", F.when(F.col("best") > 0, F.col("score") / F.col("best")).otherwise(0.0).alias("t"))
-    both = vector.select("query_id", "doc_id", F.col("similarity").alias("v")).join(scaled, ["query_id", "doc_id"], "full_outer")
-    return both.select("query_id", "doc_id", (vector_weight * F.coalesce("v", F.lit(0.0)) + (1 - vector_weight) * F.coalesce("t", F.lit(0.0))).alias("score"))
-
-
 def jaccard(a: Column, b: Column) -> Column:
     """Row 197: of arrays as sets; 0 for two empty ones."""
     union = F.size(F.array_union(a, b))
@@ -90,7 +25,10 @@ def bag_f1(pairs: DataFrame, key: str, left: Column, right: Column) -> DataFrame
 def echo_ratio(response: Column, context: Column, n: int = 8) -> Column:
     """Row 308: the share of a response's n-grams that its context has; 0 without any."""
     own = ngrams(words(response), n)
-    return F.when(F.size(own) == 0, F.lit(0.0)).otherwise(F.size(F.filter(own, lambda g: F.array_contains(ngrams(words(context), n), g))) / F.size(own))
+    # an array of one holds the n-grams that are missing, made once: what of the response isn't among them is counted
+    lost = F.array(F.array_except(own, ngrams(words(context), n)))
+    kept = F.transform(lost, lambda gone: F.size(own) - F.size(F.filter(own, lambda g: F.array_contains(gone, g))))[0]
+    return F.when(F.size(own) == 0, F.lit(0.0)).otherwise(kept / F.size(own))
 
 
 def otsu(values: DataFrame, by: str, value: str) -> DataFrame:

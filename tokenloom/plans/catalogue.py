@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tokenloom.functions import numbers, text
-from tokenloom.operators import arrays, lines, memory, metrics, ranking, sequences
+from tokenloom.operators import arrays, lines, memory, metrics, neighbours, ranking, sequences
 from tokenloom.plans.inputs import BEACON, DOC_LINES, EDGES, LOG_LINES, MESSAGES, REQUESTS, beacon, doc_lines, edges, log_lines, messages, requests, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -317,8 +317,7 @@ bm AS (SELECT query_id, doc_id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2
 def bm25_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows 260, 262, 265."""
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    s = ranking.bm25(table(spark, sf_dir, "documents"), q).withColumn("score", F.round("score", 6))
-    return ranking.top(s, "query_id", "score", "doc_id", 10)
+    return neighbours.bm25_best(table(spark, sf_dir, "documents"), q, 10)
 
 
 _COS = """c AS (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS s FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q WHERE q.vec_id <> e.vec_id)"""
@@ -328,21 +327,45 @@ _COS = """c AS (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(CA
 def vector_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows 81, 187: every fiftieth vector against all."""
     e = table(spark, sf_dir, "embeddings")
-    return ranking.vector_top(e, e.where("vec_id % 50 = 0"), 10, 0.1).withColumn("similarity", F.round("similarity", 6))
+    return neighbours.nearest(e, e.where("vec_id % 50 = 0"), 10, 0.1).withColumn("similarity", F.round("similarity", 6))
 
 
-@query(f"""WITH {_BM25}, b AS (SELECT query_id, max(score) AS best FROM bm GROUP BY 1), t AS (SELECT query_id, doc_id, score / best AS t FROM bm JOIN b USING (query_id)),
-v AS (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS v FROM embeddings e, embeddings q WHERE q.vec_id IN (SELECT item_id FROM benchmark) AND q.vec_id <> e.vec_id AND list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) >= 0.1),
+def vector_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row 188: the same by random projections."""
+    e = table(spark, sf_dir, "embeddings")
+    return neighbours.nearly_nearest(e, e.where("vec_id % 50 = 0"), 10, 0.1).withColumn("similarity", F.round("similarity", 6))
+
+
+QUERIES["vector_ann"] = vector_ann
+
+_HASHES = "SELECT *, 'h' || (vec_id * 7 % 9973) AS asked, 'h' || (vec_id * 11 % 9973) AS kept FROM embeddings"
+
+
+@query(f"""WITH e AS ({_HASHES}), q AS (SELECT * FROM e WHERE vec_id % 50 = 0),
+hit AS (SELECT q.vec_id, min(e.vec_id) AS entry FROM q JOIN e ON e.kept = q.asked AND e.vec_id <> q.vec_id GROUP BY 1),
+s AS (SELECT q.vec_id, e.vec_id AS entry, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS s FROM q, e WHERE e.vec_id <> q.vec_id AND q.vec_id NOT IN (SELECT vec_id FROM hit)),
+near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, entry) AS p FROM s WHERE s >= 0.35) WHERE p = 1)
+SELECT q.vec_id, coalesce(hit.entry, near.entry) AS entry, round(near.s, 6) AS similarity FROM q LEFT JOIN hit ON hit.vec_id = q.vec_id LEFT JOIN near ON near.vec_id = q.vec_id""")
+def semantic_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row 358: every fiftieth vector asks a cache of all, by a hash that some entries have, then by meaning."""
+    e = table(spark, sf_dir, "embeddings")
+    hashed = lambda df, m: df.select("vec_id", F.concat(F.lit("h"), (F.col("vec_id") * m % 9973).cast("string")).alias("hash"), "embedding")
+    return neighbours.cached(hashed(e.where("vec_id % 50 = 0"), 7), hashed(e, 11), 0.35).withColumn("similarity", F.round("similarity", 6))
+
+
+@query(f"""WITH {_BM25}, bt AS (SELECT * FROM (SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS p FROM bm) WHERE p <= 100),
+b AS (SELECT query_id, max(score) AS best FROM bt GROUP BY 1), t AS (SELECT query_id, doc_id, score / best AS t FROM bt JOIN b USING (query_id)),
+va AS (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS v FROM embeddings e, embeddings q WHERE q.vec_id IN (SELECT item_id FROM benchmark) AND q.vec_id <> e.vec_id),
+v AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY v DESC, doc_id) AS p FROM va WHERE v >= 0.1) WHERE p <= 100),
 h AS (SELECT coalesce(v.query_id, t.query_id) AS query_id, coalesce(v.doc_id, t.doc_id) AS doc_id, 0.7 * coalesce(v, 0) + 0.3 * coalesce(t, 0) AS s FROM v FULL JOIN t ON v.query_id = t.query_id AND v.doc_id = t.doc_id),
 r AS (SELECT query_id, doc_id, round(s, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, doc_id) AS rank FROM h) SELECT * FROM r WHERE rank <= 10""")
 def hybrid_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Row 82: the table's vectors stand for the documents and items of their ids."""
+    """Row 82: the hundred best by vectors and by texts, merged; the table's vectors stand for the documents and items of their ids."""
     d = table(spark, sf_dir, "documents")
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     e = table(spark, sf_dir, "embeddings")
-    v = ranking.similar(e, e.join(q, e["vec_id"] == q["query_id"], "left_semi"), 0.1).withColumnRenamed("vec_id", "doc_id")
-    s = ranking.hybrid(v, ranking.bm25(d, q)).withColumn("score", F.round("score", 6))
-    return ranking.top(s, "query_id", "score", "doc_id", 10)
+    v = neighbours.nearest(e, e.join(q, e["vec_id"] == q["query_id"], "left_semi"), 100, 0.1).withColumnRenamed("vec_id", "doc_id")
+    return neighbours.hybrid_best(v, neighbours.bm25_best(d, q, 100), 10)
 
 
 @query("""WITH w AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS w FROM conversations), p AS (SELECT conv_id, turn, w, lag(w) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM w)
