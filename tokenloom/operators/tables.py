@@ -88,13 +88,13 @@ def discriminators(found: DataFrame, rows: DataFrame) -> DataFrame:
     return fit.groupBy("key").agg(F.min_by("path", F.struct((-F.col("kinds")).alias("kinds"), "path")).alias("field"))
 
 
-def _json_name(name: Column) -> Column:
-    """A string as JSON."""
-    return F.regexp_extract(F.to_json(F.array(name)), r"(?s)^\[(.*)\]\z", 1)
+def json_string(name: Column) -> Column:
+    """A string as JSON; null for null."""
+    return F.when(name.isNotNull(), F.regexp_extract(F.to_json(F.array(name)), r"(?s)^\[(.*)\]\z", 1))
 
 
 def _quoted(name: Column) -> Column:
-    return F.when(name.rlike(rf"^{PLAIN}\z"), name).otherwise(_json_name(name))
+    return F.when(name.rlike(rf"^{PLAIN}\z"), name).otherwise(json_string(name))
 
 
 def tables(items: DataFrame) -> DataFrame:
@@ -173,7 +173,7 @@ def restored(texts: DataFrame) -> DataFrame:
     has = F.array_except(F.when(F.size("columns") > 0, F.sequence(F.lit(0), F.size("columns") - 1)).otherwise(F.array().cast("array<int>")), gone)
     row = row.select("key", "pos", F.transform(has, lambda i: F.col("columns")[i]).alias("paths"), F.parse_json(F.concat(F.lit("["), "cells", F.lit("]"))).alias("values")).checkpoint()
     each = exploded_fields(row, "values").select("key", "pos", F.get("paths", F.col("_at")).alias("path"), F.to_json("_value").alias("json"))
-    field = lambda name, value: F.concat(_json_name(name), F.lit(":"), value)
+    field = lambda name, value: F.concat(json_string(name), F.lit(":"), value)
     whole = lambda pairs: F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
     deep = each.where(F.size("path") == 2).groupBy("key", "pos", F.col("path")[0].alias("name")).agg(whole(F.collect_list(field(F.col("path")[1], F.col("json")))).alias("json"))
     fields = each.where(F.size("path") == 1).select("key", "pos", F.col("path")[0].alias("name"), "json").union(deep)
