@@ -7,7 +7,7 @@ import math
 import duckdb
 import pytest
 
-from tokenloom.plans import agents, anchors, crush, diffs, fields, folds, nested, policy, rules, sessions, sources, streams, tables, tools  # noqa: F401  each registers its queries
+from tokenloom.plans import agents, anchors, crush, diffs, fields, folds, nested, policy, reads, rules, sessions, sources, streams, tables, tools  # noqa: F401  each registers its queries
 from tokenloom.plans.catalogue import QUERIES, SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
