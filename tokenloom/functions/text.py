@@ -89,8 +89,9 @@ def words(text: Column) -> Column:
 
 def ngrams(items: Column, n: int) -> Column:
     """Rows 288 and 308: runs of ``n`` neighbouring items, joined by blanks; none for shorter arrays."""
-    last = F.size(items) - n + 1
-    return F.when(last < 1, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(items, i, n), " ")))
+    run = lambda own, i: F.array_join(F.slice(own, i, n), " ")
+    every = lambda own: F.when(F.size(own) < n, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.size(own) - n + 1, F.lit(1))), lambda i: run(own, i)))
+    return F.transform(F.array(items), every)[0]  # the items are made once, not for each run
 
 
 def keyword_density(text: Column) -> Column:

@@ -24,11 +24,10 @@ def bag_f1(pairs: DataFrame, key: str, left: Column, right: Column) -> DataFrame
 
 def echo_ratio(response: Column, context: Column, n: int = 8) -> Column:
     """Row 308: the share of a response's n-grams that its context has; 0 without any."""
-    own = ngrams(words(response), n)
-    # an array of one holds the n-grams that are missing, made once: what of the response isn't among them is counted
-    lost = F.array(F.array_except(own, ngrams(words(context), n)))
-    kept = F.transform(lost, lambda gone: F.size(own) - F.size(F.filter(own, lambda g: F.array_contains(gone, g))))[0]
-    return F.when(F.size(own) == 0, F.lit(0.0)).otherwise(kept / F.size(own))
+    pair = F.array(F.struct(ngrams(words(response), n).alias("own"), ngrams(words(context), n).alias("other")))
+    gone = F.transform(pair, lambda p: F.struct(p["own"].alias("own"), F.array_except(p["own"], p["other"]).alias("gone")))
+    lost = lambda p: F.size(F.filter(p["own"], lambda g: F.array_contains(p["gone"], g)))
+    return F.transform(gone, lambda p: F.when(F.size(p["own"]) == 0, F.lit(0.0)).when(F.size(p["gone"]) == 0, F.lit(1.0)).otherwise((F.size(p["own"]) - lost(p)) / F.size(p["own"])))[0]
 
 
 def otsu(values: DataFrame, by: str, value: str) -> DataFrame:

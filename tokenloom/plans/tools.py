@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tokenloom.functions import shapes
-from tokenloom.operators import tools
+from tokenloom.operators import rates, tools
 from tokenloom.plans.catalogue import query
 from tokenloom.plans.inputs import REQUESTS, requests, table
 
@@ -51,6 +51,32 @@ def tool_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tools.hints(tools.patterns(_compressions(spark, sf_dir), ["instance"])).select("instance", "skip", "max_items", "suggested", "aggressiveness")
 
 
+_RATES = REQUESTS + """, v AS (SELECT *, 's' || (instance % 3) AS strategy, CASE WHEN value > 97 THEN 'full' WHEN value > 90 THEN 'retrieve' ELSE 'compress' END AS kind FROM requests),
+f AS (SELECT mode, model, strategy, min((ts, id)) FILTER (kind = 'compress') AS first_ FROM v GROUP BY ALL),
+d AS (SELECT v.mode, v.model, v.strategy, list(CASE kind WHEN 'full' THEN CAST(-0.15 AS DOUBLE) WHEN 'retrieve' THEN CAST(-0.05 AS DOUBLE) ELSE CAST(0.02 AS DOUBLE) END ORDER BY ts, id) FILTER ((ts, id) > first_) AS moves
+  FROM v JOIN f ON f.mode = v.mode AND f.model = v.model AND f.strategy = v.strategy WHERE first_ IS NOT NULL GROUP BY ALL),
+rates AS (SELECT mode, model, strategy, list_reduce(list_prepend(CAST(1 AS DOUBLE), coalesce(moves, [])), lambda x, m: greatest(CAST(0 AS DOUBLE), least(CAST(1 AS DOUBLE), x + m))) AS rate FROM d)"""
+
+
+def _rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests as compressions by three strategies, some of them fetched back."""
+    r = requests(spark, sf_dir).withColumn("strategy", F.concat(F.lit("s"), (F.col("instance") % 3).cast("string")))
+    kind = F.when(F.col("value") > 97, "full").when(F.col("value") > 90, "retrieve").otherwise("compress")
+    return rates.strategy_rates(r, ["mode", "model"], "strategy", "ts", "id", kind)
+
+
+@query(f"""WITH {_RATES} SELECT mode, model, strategy, round(rate, 6) AS rate FROM rates""")
+def strategy_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows 121, 122: the rates of strategies after all events in order."""
+    return _rates(spark, sf_dir).withColumn("rate", F.round("rate", 6))
+
+
+@query(f"""WITH {_RATES} SELECT mode, model, arg_min(strategy, (-round(rate, 9), strategy)) AS best, round(max(rate), 6) AS rate FROM rates GROUP BY ALL""")
+def best_rated_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row 123."""
+    return rates.best_strategies(_rates(spark, sf_dir), ["mode", "model"], "strategy").withColumn("rate", F.round("rate", 6))
+
+
 @query("""WITH f AS (SELECT c_mktsegment AS tool, 'nation' || c_nationkey AS field, count(*) AS n FROM customer GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY tool ORDER BY n DESC, field) AS p FROM f) SELECT tool, list(field ORDER BY p) AS fields FROM r WHERE p <= 5 GROUP BY 1""")
 def fetched_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows 122, 123: the five fields asked for most."""
