@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -503,11 +504,41 @@ def line_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedupe(doc_lines(spark, sf_dir), "doc_id")
 
 
-@query()
+_CONTENTS = LOG_LINES + r""", line AS (SELECT doc_id, unnest(range(len(l))) AS n, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
+texts AS (
+  SELECT 'log' AS origin, string_agg(line, chr(10) ORDER BY n) AS t FROM log_lines GROUP BY log_id
+  UNION ALL SELECT 'page', html FROM pages UNION ALL SELECT 'document', text FROM documents
+  UNION ALL SELECT 'array', '[' || string_agg('{"id": ' || o_orderkey || '}', ', ' ORDER BY o_orderkey) || ']' FROM orders GROUP BY o_custkey
+  UNION ALL SELECT 'table', string_agg(c_custkey || ',' || c_name || ',' || c_mktsegment, chr(10) ORDER BY c_custkey) FROM customer GROUP BY c_nationkey
+  UNION ALL SELECT 'search', string_agg('src/' || doc_id || '.txt:' || n || ':' || line, chr(10) ORDER BY n) FROM line GROUP BY doc_id
+  UNION ALL SELECT 'diff', 'diff --git a/x b/x' || chr(10) || '@@ -1 +1 @@' || chr(10) || string_agg('+' || line, chr(10) ORDER BY n) FROM line GROUP BY doc_id
+), parts AS (SELECT origin, t, string_split(t, chr(10)) AS e, substr(t, 1, 3000) AS head FROM texts),
+near AS (SELECT *, list_filter(e[1:100], lambda x: trim(x) <> '') AS s100, list_filter(e[1:200], lambda x: trim(x) <> '') AS s200 FROM parts),
+found AS (
+  SELECT origin, t, CASE WHEN regexp_matches(head, '(?i)<!doctype html') THEN 0.5 ELSE 0 END + CASE WHEN regexp_matches(head, '(?i)<html[\s>]') THEN 0.3 ELSE 0 END + CASE WHEN regexp_matches(head, '(?i)<head[\s>]') THEN 0.1 ELSE 0 END + CASE WHEN regexp_matches(head, '(?i)<body[\s>]') THEN 0.1 ELSE 0 END AS html,
+    len(list_filter(e[1:500], lambda x: regexp_matches(x, '^(diff --git |diff --combined |diff --cc |--- a/|\+\+\+ b/|@@ -\d+)'))) AS headers, len(list_filter(e[1:500], lambda x: regexp_matches(x, '^[+-][^+-]'))) AS changes,
+    len(list_filter(s100, lambda x: regexp_matches(x, '^[^\s:]+:\d+:'))) / greatest(1, len(s100)) AS hits,
+    len(list_filter(s200, lambda x: regexp_matches(x, '^\s*(\[?\d{4}-\d{2}-\d{2}|\[?(INFO|WARN|WARNING|ERROR|DEBUG|FATAL|CRITICAL)\b)'))) / greatest(1, len(s200)) AS logged,
+    len(list_filter(s200, lambda x: regexp_matches(x, '\b(ERROR|FATAL|CRITICAL)\b'))) AS errors, list_transform(s200, lambda x: len(string_split(x, ','))) AS commas FROM near
+)"""
+
+
+@query(f"""WITH {_CONTENTS} SELECT origin, CASE WHEN regexp_matches(t, '^\\s*[\\[{{]') AND json_valid(t) THEN 'json' WHEN headers > 0 AND least(1.0, 0.5 + 0.2 * headers + 0.05 * changes) >= 0.7 THEN 'diff' WHEN html >= 0.7 THEN 'html'
+WHEN hits >= 0.3 AND 0.4 + 0.6 * hits >= 0.6 THEN 'search' WHEN logged >= 0.1 AND least(1.0, 0.3 + 0.5 * logged + 0.05 * errors) >= 0.5 THEN 'log' WHEN len(commas) >= 3 AND commas[1] >= 3 AND len(list_distinct(commas)) = 1 THEN 'tabular' ELSE 'text' END AS kind, count(*) AS n FROM found GROUP BY ALL""")
 def content_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows 40-47: of all logs, pages and documents; its rules are tested against plain Python on small texts."""
-    logs = lines.joined(log_lines(spark, sf_dir), "log_id", "n", F.col("line"), "text").select(F.lit("log").alias("origin"), "text")
-    every = logs.union(table(spark, sf_dir, "pages").select(F.lit("page"), "html")).union(table(spark, sf_dir, "documents").select(F.lit("document"), "text"))
+    """Rows 40-47: of all logs, pages and documents, of orders as arrays, customers as tables, and of documents' lines as searches and diffs."""
+    t = lambda name: table(spark, sf_dir, name)
+    text_of = lambda df, key, order, line, origin: lines.joined(df, key, order, line, "text").select(F.lit(origin).alias("origin"), "text")
+    own = doc_lines(spark, sf_dir)
+    array = text_of(t("orders"), "o_custkey", "o_orderkey", F.concat(F.lit('{"id": '), F.col("o_orderkey").cast("string"), F.lit("}")), "array")
+    parts = [
+        text_of(log_lines(spark, sf_dir), "log_id", "n", F.col("line"), "log"), t("pages").select(F.lit("page"), "html"), t("documents").select(F.lit("document"), "text"),
+        array.select("origin", F.concat(F.lit("["), F.replace("text", F.lit("\n"), F.lit(", ")), F.lit("]"))),
+        text_of(t("customer"), "c_nationkey", "c_custkey", F.concat_ws(",", F.col("c_custkey").cast("string"), "c_name", "c_mktsegment"), "table"),
+        text_of(own, "doc_id", "n", F.concat(F.lit("src/"), F.col("doc_id").cast("string"), F.lit(".txt:"), F.col("n").cast("string"), F.lit(":"), "line"), "search"),
+        text_of(own, "doc_id", "n", F.concat(F.lit("+"), "line"), "diff").select("origin", F.concat(F.lit("diff --git a/x b/x\n@@ -1 +1 @@\n"), "text")),
+    ]
+    every = reduce(DataFrame.union, parts)
     return every.groupBy("origin", lines.content_type(F.col("text")).alias("kind")).agg(F.count("*").alias("n"))
 
 
