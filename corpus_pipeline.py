@@ -23,18 +23,23 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose score is below the cut of their language."""
+    """Keeps documents whose score is below the cut of their language; null and empty texts have a score like others, rows without doc_id too."""
     return toxicity.without_toxic(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of similar ones, one row of repeated rows, and every row without doc_id."""
+    """Keeps one document of each group of similar ones, one row of each doc_id and text, the least by its other columns, and every row without doc_id.
+
+    Null and empty texts resemble nothing and stay.
+    """
     ship(spark)
     found = near_duplicates(docs).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("rows"), F.bool_or("kept").alias("kept"))
     found = Scratch(spark, "kept-documents").save(found, "found")
     rest = docs.join(found.where("NOT kept").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
     if found.where("rows > 1").limit(1).count():
-        rest = rest.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]).union(rest.where("doc_id IS NULL"))
+        others = [c for c in docs.columns if c not in ("doc_id", "text")]
+        least = rest.where("doc_id IS NOT NULL").groupBy("doc_id", "text").agg(F.min(F.struct(*others)).alias("_least"))
+        rest = least.select("doc_id", "text", *[F.col("_least")[c].alias(c) for c in others]).select(*docs.columns).union(rest.where("doc_id IS NULL"))
     return rest
 
 
@@ -45,12 +50,12 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that hold no benchmark item."""
+    """Keeps documents that hold no benchmark item; null and empty texts hold none."""
     return decontaminate.clean(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in sequences of 4096 ids."""
+    """The pieces of all documents and their places in sequences of 4096 ids; a null text is its end id, a null doc_id is carried through."""
     ship(spark)
     return pack(docs, capacity=4096, end=1)
 

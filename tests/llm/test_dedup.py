@@ -206,3 +206,44 @@ def test_passages_are_whole_repeats(spark):
         assert part.strip() in same and len(part.split()) == r.words >= len(same.split()) - 14
     texts = {r.doc_id: r.text for r in without_repeats(docs).collect()}
     assert all(texts[i] == t for i, t in rows if i not in (101, 102))
+
+
+def test_paragraphs_against_all_pairs(spark):
+    """Components of a small corpus are those of every pair's exact Jaccard similarity, near the threshold too; the share found is measured."""
+    import random
+
+    from tokenloom.llm.passages import repeats
+
+    rng = random.Random(20)
+    vocabulary = [f"w{k}" for k in range(4000)]
+    texts = []
+    for _ in range(60):
+        base = [rng.choice(vocabulary) for _ in range(rng.randrange(40, 120))]
+        texts.append(base)
+        for edits in (1, 1, 2, 2, 3, 4):
+            own = list(base)
+            for _ in range(edits):
+                own[rng.randrange(len(own))] = rng.choice(vocabulary)
+            texts.append(own)
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    texts = [texts[i] for i in order]
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    links = [(a, b) for a in range(len(texts)) for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    for a, b in links:
+        parent[max(find(a), find(b))] = min(find(a), find(b))
+    sizes = {}
+    for x in range(len(texts)):
+        sizes.setdefault(find(x), []).append(x)
+    want = {x: root for root, own in sizes.items() if len(own) > 1 for x in own}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in repeats(docs).where("kind = 'paragraph'").collect()}
+    assert set(got) <= set(want) and all(want[x] == want[root] for x, root in got.items())
+    assert len(links) > 150 and sum(got.get(x) == root for x, root in want.items()) >= 0.995 * len(want)

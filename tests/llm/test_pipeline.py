@@ -74,3 +74,35 @@ def test_empty_documents(spark, sf, stages):
     for _, stage in corpus_pipeline.STAGES:
         none = stage(spark, none, sf)
         assert none.count() == 0
+
+
+@pytest.fixture(scope="module")
+def odd(spark, sf, tmp_path_factory):
+    """A corpus with nulls, white space, repeated rows, rows that differ in other columns only, and a long text."""
+    folder = str(tmp_path_factory.mktemp("odd"))
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(40)
+    n = docs.count()
+    rows = [(None, "no id here at all", "en", "s", 1), (None, None, None, None, None), (90_001, None, None, None, None), (90_002, "", "en", "s", 0), (90_003, " \t\n ", "en", "s", 4)]
+    rows += [(90_004, "one and the same row of words", "en", "b", 2), (90_004, "one and the same row of words", "en", "a", 9), (90_004, "one and the same row of words", "en", "a", 3), (90_004, "another text of that id", "de", "a", 1)]
+    rows += [(90_005, "word number is long " * 60_000, "xx", "s", 1), (90_006, "\n".join(f"line {i} of a text that is long enough to be taken for a paragraph of its own kind {i * 7}" for i in range(3000)), "en", "s", 1)]
+    docs.unionByName(spark.createDataFrame(rows, docs.schema)).write.parquet(f"{folder}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf}/{name}.parquet").write.parquet(f"{folder}/{name}.parquet")
+    return folder, n
+
+
+def test_odd_rows(spark, odd):
+    folder, n = odd
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    from tokenloom.llm.scratch import Scratch
+
+    scratch = Scratch(spark, "test-odd")
+    near = scratch.save(corpus_pipeline.drop_near_duplicates(spark, docs, folder), "near")
+    assert near.columns == docs.columns
+    kept = [(r.text, r.source, r.n_chars) for r in near.where("doc_id = 90004").collect()]
+    assert sorted(kept) == [("another text of that id", "a", 1), ("one and the same row of words", "a", 3)]
+    assert near.where("doc_id IS NULL").count() == 2 and near.where("doc_id BETWEEN 90001 AND 90003").count() == 3
+    pieces = corpus_pipeline.run(spark, folder).toPandas()
+    assert {90_001, 90_002, 90_003, 90_005} <= set(pieces["doc_id"].dropna().astype(int)) and pieces["doc_id"].isna().sum() >= 2
+    filled = pieces.groupby("sequence_id")["length"].sum()
+    assert filled.max() <= 4096 and pieces[pieces["doc_id"] == 90_001]["length"].tolist() == [1]
