@@ -82,7 +82,7 @@ def pointer(count: Column, of: Column, first: Column, shift: Column) -> Column:
 
 
 def fold_repeats(found: DataFrame, least: int = 3, least_chars: int = 40) -> DataFrame:
-    """Row 248: ``session, block, turn, text, spans, lines, chars`` of every row of ``blocks``, repeated spans of its text folded.
+    """Row 248: ``session, block, turn, protected, text, spans, lines, chars`` of every row of ``blocks``, repeated spans of its text folded.
 
     A span is folded where it has ``least`` lines and ``least_chars`` characters and its pointer is shorter; ``lines`` and ``chars`` are what
     that took out.  Lines that look like pointers get a backslash in front.  Protected rows stay as they are but can be
@@ -102,7 +102,7 @@ def fold_repeats(found: DataFrame, least: int = 3, least_chars: int = 40) -> Dat
     whole = one.groupBy(*_BLOCK).agg(F.sort_array(F.collect_list(F.struct("n", shown.alias("line")))).alias("shown"), F.sum(F.col("folds").cast("long")).alias("spans"), saved(F.col("high") - F.col("low")).alias("lines"), saved(F.col("chars") - F.length("mark")).alias("chars"))
     out = whole.select(*_BLOCK, F.array_join("shown.line", "\n").alias("folded"), "spans", "lines", "chars")
     none = F.lit(0).cast("long")
-    return found.join(out, _BLOCK, "left").select(*_BLOCK, "turn", F.coalesce("folded", "text").alias("text"), *[F.coalesce(c, none).alias(c) for c in ("spans", "lines", "chars")])
+    return found.join(out, _BLOCK, "left").select(*_BLOCK, "turn", "protected", F.coalesce("folded", "text").alias("text"), *[F.coalesce(c, none).alias(c) for c in ("spans", "lines", "chars")])
 
 
 def _shifted(line: Column, shift: Column) -> Column:
@@ -121,12 +121,12 @@ def unfold_repeats(folded: DataFrame) -> DataFrame:
     """
     spark = folded.sparkSession
     shared_folder(spark)
-    own = folded.where("session IS NOT NULL").select(*_BLOCK, F.posexplode(F.split("text", "\n", -1)).alias("k", "line"))
-    part = lambda k: F.regexp_extract("line", POINTER, k)
+    own = folded.where("session IS NOT NULL").select(*_BLOCK, "protected", F.posexplode(F.split("text", "\n", -1)).alias("k", "line"))
+    part = lambda k: F.when(F.col("protected"), "").otherwise(F.regexp_extract("line", POINTER, k))
     parsed = own.withColumn("count", F.when(part(1) != "", part(1).cast("long")).otherwise(1))
     begins = F.sum("count").over(Window.partitionBy(*_BLOCK).orderBy("k")) - F.col("count")
-    wide = parsed.withColumn("begins", begins).select(*_BLOCK, F.col("begins"), "line", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)).alias("i"))
-    literal = F.when(F.col("line").rlike(ALIKE) & (part(1) == ""), F.substr("line", F.lit(2))).otherwise(F.col("line"))
+    wide = parsed.withColumn("begins", begins).select(*_BLOCK, "protected", "begins", "line", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)).alias("i"))
+    literal = F.when(~F.col("protected") & F.col("line").rlike(ALIKE) & (part(1) == ""), F.substr("line", F.lit(2))).otherwise(F.col("line"))
     is_pointer = part(1) != ""
     rows = wide.select(
         *_BLOCK, (F.col("begins") + F.col("i")).alias("n"), F.when(~is_pointer, literal).alias("line"), F.when(is_pointer, part(2).cast("long")).alias("of"),
