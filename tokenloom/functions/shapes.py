@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -95,14 +97,19 @@ def primary_command(command: Column) -> Column:
     return F.rtrim(F.regexp_extract(bare, r"^(.*?)( \| | && |$)", 1))
 
 
+# What a text says that carries an earlier session on.
+CONTINUED = "this session is being continued from a previous conversation"
+SUMMARISED, RAN_OUT = "conversation is summarized below", ("ran out of context", "previous conversation")
+SUMMARY_WORDS, COMPACT, SPEAKS_OF = ("summary", "summarized"), ("/compact", "claude"), ("conversation", "session")
+
+
 def is_continued_summary(text: Column) -> Column:
     """Row 417: texts that carry an earlier session on as its summary."""
     t = F.regexp_replace(F.lower(text), r"\s+", " ")
-    summary = t.contains("summary") | t.contains("summarized")
-    first = t.contains("this session is being continued from a previous conversation") & summary
-    second = t.contains("conversation is summarized below") & (t.contains("ran out of context") | t.contains("previous conversation"))
-    third = t.contains("/compact") & t.contains("claude") & summary & (t.contains("conversation") | t.contains("session"))
-    return F.coalesce(first | second | third, F.lit(False))
+    any_of = lambda words: reduce(Column.__or__, [t.contains(w) for w in words])
+    summary = any_of(SUMMARY_WORDS)
+    command = reduce(Column.__and__, [t.contains(w) for w in COMPACT])
+    return F.coalesce((t.contains(CONTINUED) & summary) | (t.contains(SUMMARISED) & any_of(RAN_OUT)) | (command & summary & any_of(SPEAKS_OF)), F.lit(False))
 
 
 def cache_ttl(explicit: Column, learned: Column, default: int = 300) -> Column:
@@ -117,11 +124,19 @@ def known_or_other(label: Column, known: list[str]) -> Column:
 
 def word_statistics(words: Column) -> dict[str, Column]:
     """Row 303: words, different ones, the share of those, words used once, and Yule's K of an array of words."""
-    kinds = F.array_distinct(words)
-    n, v = F.size(words), F.size(kinds)
-    uses = F.transform(kinds, lambda w: F.size(F.filter(words, lambda x: x == w)))
-    squares = F.aggregate(uses, F.lit(0).cast("long"), lambda a, u: a + u * u)
-    return {"words": n, "different": v, "ratio": F.when(n > 0, v / n).otherwise(0.0), "once": F.size(F.filter(uses, lambda u: u == 1)), "yule_k": F.when(n > 0, 10000 * (squares - n) / (n * n)).otherwise(0.0)}
+    n, v = F.size(words), F.size(F.array_distinct(words))
+    long = lambda x: F.lit(x).cast("long")
+
+    def step(s: Column, w: Column) -> Column:
+        """Equal words are neighbours: the run of the last one, the sum of squares of all runs, and the runs of one that have ended."""
+        same = (s["run"] > 0) & (s["last"] == w)
+        ended = F.when(~same & (s["run"] == 1), 1).otherwise(0)
+        return F.struct(w.alias("last"), F.when(same, s["run"] + 1).otherwise(long(1)).alias("run"), (s["squares"] + F.when(same, 2 * s["run"] + 1).otherwise(long(1))).alias("squares"), (s["once"] + ended).alias("once"))
+
+    start = F.struct(F.lit("").alias("last"), long(0).alias("run"), long(0).alias("squares"), long(0).alias("once"))
+    end = F.aggregate(F.sort_array(words), start, step)
+    squares, once = end["squares"], (end["once"] + (end["run"] == 1).cast("long")).cast("int")
+    return {"words": n, "different": v, "ratio": F.when(n > 0, v / n).otherwise(0.0), "once": once, "yule_k": F.when(n > 0, 10000 * (squares - n) / (n * n)).otherwise(0.0)}
 
 
 def structure_counts(text: Column) -> dict[str, Column]:

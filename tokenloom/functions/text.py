@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Scripts in which a character is about a token.
-DENSE = r"[　-〿぀-ヿ㐀-䶿一-鿿가-힯豈-﫿＀-￯\x{20000}-\x{2a6df}]"
+DENSE = r"[\x{3000}-\x{303f}\x{3040}-\x{30ff}\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{ac00}-\x{d7af}\x{f900}-\x{faff}\x{ff00}-\x{ffef}\x{20000}-\x{2a6df}]"
+# What counts as waste in a text, and what is told as an address, an id, a tag or encoded bytes.
 URL = r"https?://\S+"
 UUID = r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
 HTML_TAG = r"<[^>]+>"
