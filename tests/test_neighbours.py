@@ -110,3 +110,45 @@ def test_cache(spark, rows):
     assert len(got) == 121 and got[0].entry == 20 and got[20].entry == 0 and got[0].similarity is None and got[700].entry == 0
     near = plain_nearest(rows, [i for i in range(0, 600, 5) if i % 100 >= 40], 1, 0.8)
     assert {q: [got[q].entry] if got[q].entry is not None else [] for q in near} == near
+
+
+@pytest.fixture(scope="module")
+def merged(spark, tmp_path_factory):
+    """Tables whose best sums are below the hundred best of either side, with odd ids: (folder, rows by the query's SQL)."""
+    import duckdb
+
+    from tokenloom.plans.catalogue import SQL
+
+    rng = random.Random(5)
+    at = lambda cos: [cos, math.sqrt(1 - cos * cos)] + [0.0] * 8
+    docs = [(i, "xx yy zz") for i in range(1000, 1150)] + [(5000, "xx yy zz dd ee ff gg hh")]
+    docs += [(i, " ".join(rng.choices("aa bb cc, dd ee Ff h_1".split(), k=rng.randrange(1, 12)))) for i in range(60)]
+    docs += [(3, "aa dd dd"), (3, "aa zz dd"), (4, "bb"), (None, "aa bb"), (None, "cc cc cc cc"), (9000, None), (9001, "")]
+    vectors = [(0, at(1.0)), (5000, at(0.55))] + [(i, at(0.6 + (i - 2000) / 1e4)) for i in range(2000, 2150)]
+    vectors += [(i, [0.0, 0.0] + [rng.gauss(0, 1) for _ in range(8)]) for i in range(1, 80)] + [(3, at(0.3)), (4, at(0.2)), (None, at(0.9)), (9000, None)]
+    items = [(0, "xx yy zz"), (1, "dd, AA dd"), (2, None), (3, "h_1 ee"), (3, "ee aa"), (4, "nowhere"), (5, ""), (7777, "ff"), (None, "aa"), (9000, "bb")]
+    folder = str(tmp_path_factory.mktemp("merged"))
+    c = duckdb.connect()
+    for name, rows, schema in (("documents", docs, "doc_id long, text string"), ("embeddings", vectors, "vec_id long, embedding array<float>"), ("benchmark", items, "item_id long, text string")):
+        spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{folder}/{name}.parquet")
+        c.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet/*.parquet'")
+    return folder, c.execute(SQL["hybrid_top"]).fetchall()
+
+
+def test_hybrid(spark, merged):
+    from tokenloom.plans.catalogue import QUERIES
+
+    folder, want = merged
+    plain = lambda rows: sorted((q, rank, f"{s:.6f}", str(d)) for q, d, s, rank in rows)
+    got = QUERIES["hybrid_top"](spark, folder).select("query_id", "doc_id", "score", "rank").collect()
+    assert (0, 1, 5000) in {(r.query_id, r.rank, r.doc_id) for r in got}  # the 151st by either side
+    assert plain(got) == plain(want)
+
+
+def test_hybrid_in_blocks(spark, merged):
+    d, v, q = (spark.read.parquet(f"{merged[0]}/{t}.parquet") for t in ("documents", "embeddings", "benchmark"))
+    q = q.withColumnRenamed("item_id", "query_id")
+    rows = lambda df: sorted(str(tuple(r)) for r in df.collect())
+    assert rows(N.hybrid_best(d, v, q, 10, 0.1, block=3)) == rows(N.hybrid_best(d, v, q, 10, 0.1))
+    assert N.hybrid_best(d, v, q.limit(0), 3).count() == 0 and N.hybrid_best(d.limit(0), v.limit(0), q, 3).count() == 0
+    assert found(N.hybrid_best(d.limit(0), v, q.where("query_id = 1"), 5, 0.1).withColumnRenamed("doc_id", "vec_id")) == found(N.nearest(v, v.where("vec_id = 1"), 5, 0.1))

@@ -3,6 +3,9 @@
 Exact search reads vectors once for ``QUERY_BLOCK`` queries: these are broadcast, multiplied with Arrow batches of vectors in tiles, and a task gives the best
 of its vectors for each query, so that what is shuffled are tasks x queries x k rows whatever the table's size.
 
+Hybrid search leaves no document out before the two scores are added: documents, as counts of the queries' terms, meet their vectors by id, and
+a task adds the scores of all its pairs before it gives its best.
+
 Approximate search hashes unit vectors by the signs of random projections, in several tables.  A bucket of over ``CROWD`` vectors is
 split by more signs; the rest meet their queries by equijoin, and every candidate is compared exactly.  Equal vectors are one
 class, so copies don't fill buckets.
@@ -10,6 +13,7 @@ class, so copies don't fill buckets.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -19,13 +23,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tokenloom.cluster import ship
+from tokenloom.cluster import shared_folder, ship
 from tokenloom.functions.text import words
 
 #: Queries that are broadcast at once, 8 bytes a dimension each, and those multiplied at once.
 QUERY_BLOCK, TILE = 65_536, 2048
 #: Digits to which similarities are told apart, so that equal vectors tie.
 DIGITS = 12
+#: Stands for a null id, so that it comes after all others.
+NO_ID = np.iinfo(np.int64).max
 #: Random projections: tables, signs at most, signs more for a crowded bucket, vectors of a bucket at most before it is split.
 TABLES, SIGNS, STEP, CROWD = 24, 24, 3, 1024
 _SEED = 64
@@ -130,28 +136,41 @@ def _frequencies(terms):
     return run
 
 
+def _bm25(shared, rows: int, row: np.ndarray, term: np.ndarray, tf: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Scores of the queries, a column for each of so many rows; -inf where a row has no term of the query."""
+    _, idf, ids, begin, users, mean = shared
+    weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))
+    n = begin[term + 1] - begin[term]
+    query = users[np.arange(n.sum()) + np.repeat(begin[term] - (np.cumsum(n) - n), n)]
+    cell = query * rows + np.repeat(row, n)
+    total = np.bincount(cell, weights=np.repeat(weight, n), minlength=len(ids) * rows)
+    met = np.zeros(total.size, dtype=bool)
+    met[cell] = True
+    return np.where(met, total, -np.inf).reshape(len(ids), rows)
+
+
 def _score(shared, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, idf, ids, begin, users, mean = shared.value
+        terms, _, ids, *_ = shared.value
         values, found = pa.array(terms), Best(len(ids), k)
         for batch in batches:
             column, own = batch.column("w"), batch.column("doc_id").to_numpy()
             doc, term, tf = _terms_of(column, values)
-            size = column.value_lengths().to_numpy()[doc]
-            weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))
-            n = begin[term + 1] - begin[term]
-            query = users[np.arange(n.sum()) + np.repeat(begin[term] - (np.cumsum(n) - n), n)]
-            cell = query * len(own) + np.repeat(doc, n)
-            total = np.bincount(cell, weights=np.repeat(weight, n), minlength=len(ids) * len(own)).reshape(len(ids), -1)
-            met = np.zeros(total.size, dtype=bool)
-            met[cell] = True
-            score = np.where(met.reshape(total.shape), np.round(total, 6), -np.inf)
-            found.offer(0, score, own)
+            found.offer(0, np.round(_bm25(shared.value, len(own), doc, term, tf, column.value_lengths().to_numpy()[doc]), 6), own)
         yield found.rows(ids, ["query_id", "doc_id", "score"])
 
     return run
 
 
+def _users(column: pa.ListArray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct terms of queries' words, and for each where its users begin in a list of the queries' places."""
+    encoded = column.flatten().dictionary_encode()
+    terms, use = encoded.dictionary.to_pylist(), encoded.indices.to_numpy()
+    order = np.argsort(use, kind="stable")
+    users = np.repeat(np.arange(len(column)), column.value_lengths().to_numpy())[order]
+    return terms, np.searchsorted(use[order], np.arange(len(terms) + 1)), users
+
+
 def bm25_best(docs: DataFrame, queries: DataFrame, k: int, block: int = TILE) -> DataFrame:
     """Rows 260 and 265: ``query_id, doc_id, score, rank``: the k best documents of each query that share a term with it.
 
@@ -168,31 +187,175 @@ def bm25_best(docs: DataFrame, queries: DataFrame, k: int, block: int = TILE) ->
         table = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i).toArrow().combine_chunks()  # a block at a time
         ids = table["query_id"].to_numpy()
         column = table["w"].combine_chunks() if len(ids) else pa.array([], type=pa.list_(pa.string()))
-        encoded = column.flatten().dictionary_encode()
-        terms = encoded.dictionary.to_pylist()
+        terms, begin, users = _users(column)
         if not terms:
             continue
         counts = tokens.select("w").mapInArrow(_frequencies(context.broadcast(terms)), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
         n = dict(zip(counts["term"].to_pylist(), counts["n"].to_pylist(), strict=True))
         uses = np.array([n.get(t, 0) for t in range(len(terms))])
         idf = np.log((n.get(-1, 0) - uses + 0.5) / (uses + 0.5) + 1)
-        use = encoded.indices.to_numpy()
-        order = np.argsort(use, kind="stable")
-        users = np.repeat(np.arange(len(ids)), column.value_lengths().to_numpy())[order]
-        shared = context.broadcast((terms, idf, ids, np.searchsorted(use[order], np.arange(len(terms) + 1)), users, n.get(-2, 0) / max(1, n.get(-1, 0))))
+        shared = context.broadcast((terms, idf, ids, begin, users, n.get(-2, 0) / max(1, n.get(-1, 0))))
         found.append(tokens.mapInArrow(_score(shared, k), "query_id long, doc_id long, score double"))
     if not found:
         return tokens.limit(0).select(F.col("doc_id").alias("query_id"), "doc_id", F.lit(0.0).alias("score"), F.lit(1).alias("rank"))
     return best(reduce(DataFrame.union, found), "query_id", "score", "doc_id", k)
 
 
-def hybrid_best(vector: DataFrame, text: DataFrame, k: int, vector_weight: float = 0.7) -> DataFrame:
-    """Row 82: the k best of two result lists ``query_id, doc_id, similarity`` and ``query_id, doc_id, score``, texts scaled by their best; what a list lacks counts 0."""
-    top = text.groupBy("query_id").agg(F.max("score").alias("top"))
-    scaled = text.join(top, "query_id").select("query_id", "doc_id", F.when(F.col("top") > 0, F.col("score") / F.col("top")).otherwise(0.0).alias("t"))
-    both = vector.select("query_id", "doc_id", F.col("similarity").alias("v")).join(scaled, ["query_id", "doc_id"], "full_outer")
-    score = vector_weight * F.coalesce("v", F.lit(0.0)) + (1 - vector_weight) * F.coalesce("t", F.lit(0.0))
-    return best(both.select("query_id", "doc_id", F.round(score, 6).alias("score")), "query_id", "score", "doc_id", k)
+# both ------------------------------------------------------------------------------------------------------------
+
+
+def _term_counts(terms):
+    """A row for each document: its words' number, null for a null text, and how often it has which of the ``terms``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values = pa.array(terms.value, pa.string())
+        for batch in batches:
+            column = batch.column("w")
+            doc, term, tf = _terms_of(column, values)
+            at = pa.array(np.searchsorted(doc, np.arange(len(column) + 1)), pa.int32())
+            lists = [pa.ListArray.from_arrays(at, pa.array(x, pa.int32())) for x in (term, tf)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), column.value_lengths(), *lists], names=["doc_id", "size", "terms", "tf"])
+
+    return run
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, term, frequency and size of the texts of ids."""
+    size, terms, tf = column.flatten().flatten()
+    n = terms.value_lengths().to_numpy()
+    row = np.repeat(np.arange(len(column)), column.value_lengths().fill_null(0).to_numpy())
+    return np.repeat(row, n), terms.flatten().to_numpy(), tf.flatten().to_numpy(), np.repeat(size.fill_null(0).to_numpy(), n)
+
+
+def _uses(width: int):
+    """Texts that have each of so many terms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uses = np.zeros(width, dtype=np.int64)
+        for batch in batches:
+            uses += np.bincount(_flat(batch.column("texts"))[1], minlength=width)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(width)), pa.array(uses)], names=["term", "n"])
+
+    return run
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """A scan of the table as written once to the shared folder."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/tokenloom-hybrid-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _by_id(counts: DataFrame) -> DataFrame:
+    """``doc_id, texts``: a row for each id; equally long texts of one id are one, and their terms are summed before they meet."""
+    texts = F.array(F.struct("size", "terms", "tf")).alias("texts")
+    repeated = counts.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("id"))
+    if repeated.isEmpty():
+        return counts.select("doc_id", texts)
+    same = F.col("doc_id").eqNullSafe(F.col("id"))
+    terms = counts.join(repeated, same, "left_semi").select("doc_id", "size", F.explode(F.arrays_zip("terms", "tf")).alias("t"))
+    sums = terms.groupBy("doc_id", "size", F.col("t.terms").alias("term")).agg(F.sum("t.tf").cast("int").alias("tf"))
+    merged = sums.groupBy("doc_id", "size").agg(F.collect_list(F.struct("term", "tf")).alias("t")).select("doc_id", F.struct("size", F.col("t.term").alias("terms"), F.col("t.tf").alias("tf")).alias("text"))
+    return _kept(counts.join(repeated, same, "left_anti").select("doc_id", texts).union(merged.groupBy("doc_id").agg(F.collect_list("text").alias("texts"))))
+
+
+def _highest(shared):
+    """The highest score of each query, by its place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top = np.full(len(shared.value[2]), -np.inf)
+        for batch in batches:
+            if len(batch):
+                top = np.maximum(top, _bm25(shared.value, len(batch), *_flat(batch.column("texts"))).max(axis=1))
+        at = np.flatnonzero(np.isfinite(top))
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(top[at])], names=["at", "top"])
+
+    return run
+
+
+def _layers(ids: np.ndarray, table: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The places of queries and a vector of each; a query with several vectors is in several layers."""
+    if not len(table):
+        return []
+    unit, order = _unit(_rows(table["embedding"].combine_chunks())), np.argsort(ids, kind="stable")
+    place = order[np.searchsorted(ids[order], table["vec_id"].to_numpy())]
+    by = np.argsort(place, kind="stable")
+    nth = np.empty(len(by), dtype=np.int64)
+    nth[by] = np.arange(len(by)) - np.searchsorted(place[by], place[by])
+    return [(place[nth == i], unit[nth == i]) for i in range(nth.max() + 1)]
+
+
+def _both(shared, asked, k: int, least: float, vector_weight: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (_, _, ids, *_), (top, layers) = shared.value, asked.value
+        found = Best(len(ids), k)
+        for batch in batches:
+            own = batch.column("doc_id").fill_null(NO_ID).to_numpy()
+            score = _bm25(shared.value, len(own), *_flat(batch.column("texts")))
+            alone = np.isfinite(score)  # pairs of a text without a vector
+            text = (1 - vector_weight) * np.where(alone, score / top[:, None], 0.0)
+            vectors = batch.column("vectors")
+            row = np.repeat(np.arange(len(own)), vectors.value_lengths().fill_null(0).to_numpy())
+            if len(row):
+                unit = _unit(_rows(vectors.flatten())).T
+                for place, matrix in layers:
+                    v = np.round(matrix @ unit, DIGITS)
+                    near = (v >= least) & (ids[place, None] != own[row])
+                    every = np.full((len(ids), len(row)), -np.inf)
+                    every[place] = np.where(near, np.round(vector_weight * v + text[place][:, row], 6), -np.inf)
+                    found.offer(0, every, own[row])
+                    at, column = np.nonzero(near)
+                    alone[place[at], row[column]] = False
+            found.offer(0, np.where(alone, np.round(text, 6), -np.inf), own)
+        yield found.rows(ids, ["query_id", "doc_id", "score"])
+
+    return run
+
+
+def hybrid_best(docs: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, least: float = 0.0, vector_weight: float = 0.7, block: int = TILE) -> DataFrame:
+    """Row 82: ``query_id, doc_id, score, rank``: the k best of all documents and vectors by weighted similarity and BM25 score.
+
+    ``docs(doc_id, text)``, ``vectors(vec_id, embedding)`` and ``queries(query_id, text)``, whose vectors are those of their ids.  Similarities from
+    ``least`` on to other ids count, texts are scaled by the best of the whole table, what a side lacks counts 0; scores are rounded to six digits, ties go to the smaller id.
+    Nothing is cut before the sides meet.  Texts are read once for ``block`` queries and kept as counts of their terms; these and the vectors are shuffled by id.
+    Rows of one id are one document, those without id too; vectors and queries without id take no part; a vector of zeros has similarity 0;
+    null texts count as documents but not for their mean length.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    context = spark.sparkContext
+    tokens = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col("text").isNotNull(), words(F.col("text"))).alias("w"))
+    whole = vectors.where("vec_id IS NOT NULL AND embedding IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    asked = queries.where("query_id IS NOT NULL").select(F.col("query_id").cast("long").alias("query_id"), F.array_distinct(words(F.col("text"))).alias("w"))
+    asked = asked.groupBy("query_id").agg(F.flatten(F.collect_list("w")).alias("w"))
+    of_id = whole.groupBy("vec_id").agg(F.collect_list("embedding").alias("vectors"))
+    parts, found = max(1, -(-asked.count() // block)), []
+    for i in range(parts):
+        part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i)
+        table = part.toArrow().combine_chunks()  # a block at a time
+        if not len(table):
+            continue
+        ids = table["query_id"].to_numpy()
+        terms, begin, users = _users(table["w"].combine_chunks())
+        counts = tokens.mapInArrow(_term_counts(context.broadcast(terms)), "doc_id long, size int, terms array<int>, tf array<int>")
+        counts = _kept(counts)
+        rows, known, length = counts.agg(F.count("*"), F.count("size"), F.coalesce(F.sum("size"), F.lit(0))).first()
+        texts = _by_id(counts)
+        sums = texts.select("texts").mapInArrow(_uses(len(terms)), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+        uses = np.zeros(len(terms), dtype=np.int64)
+        uses[sums["term"].to_numpy()] = sums["n"].to_numpy()
+        idf = np.log((rows - uses + 0.5) / (uses + 0.5) + 1)
+        shared = context.broadcast((terms, idf, ids, begin, users, length / max(1, known)))
+        highest = texts.select("texts").mapInArrow(_highest(shared), "at long, top double").groupBy("at").agg(F.max("top").alias("top")).toArrow()
+        top = np.ones(len(ids))
+        top[highest["at"].to_numpy()] = highest["top"].to_numpy()
+        own = whole.join(part.select(F.col("query_id").alias("vec_id")), "vec_id", "left_semi").toArrow()
+        both = texts.join(of_id, F.col("doc_id") == F.col("vec_id"), "full_outer").select(F.coalesce("doc_id", "vec_id").alias("doc_id"), "texts", "vectors")
+        scored = _both(shared, context.broadcast((top, _layers(ids, own))), k, least, vector_weight)
+        found.append(both.mapInArrow(scored, "query_id long, doc_id long, score double"))
+    if not found:
+        return tokens.limit(0).select(F.col("doc_id").alias("query_id"), "doc_id", F.lit(0.0).alias("score"), F.lit(1).alias("rank"))
+    return best(reduce(DataFrame.union, found), "query_id", "score", "doc_id", k).withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
 # approximate search ---------------------------------------------------------------------------------------------
