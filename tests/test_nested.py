@@ -8,6 +8,7 @@ import random
 import statistics
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tokenloom.functions.text import has_error_word
@@ -148,6 +149,23 @@ def test_keys(spark):
         assert {o: sorted(x) for o, x in got.items()} == {o: plain_keys(own, k, failing, least) for o, own in enumerate(objects)}
 
 
+def test_ties_at_two_deviations(spark):
+    """Whole numbers at just two deviations aren't far, in any order of rows."""
+    bases = [[5] * 12 + [6, 6, 6, 4, 4], [5] * 12 + [6, 6, 4, 4, 4], [6, 5, 8, 8, 5, 6, 6, 6, 6, 5, 5, 6, 6], [5] * 7 + [4, 6], [0, 0, 0, 0, 10**7, 0], [3] * 9, [1, 2], [7]]
+    arrays = [own[k:] + own[:k] for own in bases for k in range(len(own))]
+
+    def exactly(xs):
+        n, s, q = len(xs), sum(xs), sum(x * x for x in xs)
+        return [(n * x - s) ** 2 * (n - 1) > 4 * n * (n * q - s * s) for x in xs]
+
+    df = spark.createDataFrame([(a, i, float(x)) for a, own in enumerate(arrays) for i, x in enumerate(own)], "key long, i long, x double")
+    for scale in (1.0, 1e250, 1e-3):
+        got = {(r.key, r.i): r.f for r in df.select("key", "i", N._far(F.col("x") * scale, Window.partitionBy("key")).alias("f")).collect()}
+        if scale == 1:
+            assert got == {(a, i): f for a, own in enumerate(arrays) for i, f in enumerate(exactly(own))}
+        assert len(got) == sum(map(len, arrays))
+
+
 def documents():
     rng = random.Random(9)
     row = lambda i: {"id": i, "msg": rng.choice(WORDS), "at": {"x": i % 3}}

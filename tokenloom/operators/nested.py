@@ -21,6 +21,8 @@ from tokenloom.operators.tables import json_string, exploded_fields, type_tag
 #: Up to so many items or keys nothing goes; arrays and groups of fewer items aren't looked into; deviations of an outlier;
 #: tokens of an object that is cut and of an entry that always stays.
 WHOLE, LEAST, FAR, LEAST_TOKENS, SMALL = 8, 5, 2.0, 200, 12
+#: Fixed value: largest whole number times count up to which deviations are compared exactly, in 38 digits.
+EXACT = 1e12
 
 
 def _edges(k: int) -> tuple[Column, Column]:
@@ -30,8 +32,21 @@ def _edges(k: int) -> tuple[Column, Column]:
 
 
 def _far(value: Column, w) -> Column:
-    """Further than two sample deviations from the window's mean; false where there is none."""
-    return F.coalesce((F.stddev_samp(value).over(w) > 0) & (F.abs(value - F.avg(value).over(w)) > FAR * F.stddev_samp(value).over(w)), F.lit(False))
+    """Further than two sample deviations from the window's mean; false where there is none.
+
+    Whole numbers are compared exactly, so that one at just two deviations isn't far, whatever the order of rows; others, and those whose largest times their
+    count is over ``EXACT``, as doubles.
+    """
+    n, x = F.count(value).over(w), value.try_cast("decimal(13,0)")
+    total, squares, most = F.sum(x).over(w), F.sum((x * x).cast("decimal(26,0)")).over(w), F.max(F.abs(value)).over(w)
+    whole = F.bool_and(value == x.cast("double")).over(w) & (most * n <= EXACT)
+    big = lambda c, digits=26: c.try_cast(f"decimal({digits},0)")
+    # with d = n * value - total, a deviation is the root of (n * squares - total * total) / (n * (n - 1)) and the value d / n from the mean
+    d = big(big(n, 13) * x - total, 13)
+    apart, spread = big(d * d) * big(n - 1, 12), big(big(n, 13) * big(squares, 25), 38) - big(big(total, 13) * big(total, 13))
+    exact = apart > int(FAR * FAR) * big(n, 11) * big(spread)
+    double = (F.stddev_samp(value).over(w) > 0) & (F.abs(value - F.avg(value).over(w)) > FAR * F.stddev_samp(value).over(w))
+    return F.coalesce(F.when(whole, exact).otherwise(double), F.lit(False))
 
 
 def kept_strings(items: DataFrame, k: int, by: tuple[str, ...] = ("key",)) -> DataFrame:
