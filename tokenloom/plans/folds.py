@@ -112,6 +112,10 @@ best AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY length(text), fol
 SELECT id, coalesce(nullif(fold, ''), 'none') AS fold, length(text) AS size, sha256(text) AS hash FROM best WHERE p = 1""")
 def smallest_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows 247, 408: documents, searches and logs, each by the fold that makes it smallest."""
-    d = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "text")
-    texts = joined(_search_rows(spark, sf_dir).union(_shapes(spark, sf_dir)), "id", "n", F.col("line"), "text").union(d)
+    documents = table(spark, sf_dir, "documents")
+    name = lambda kind: F.concat(F.lit(kind), F.col("doc_id").cast("string")).alias("id")
+    row = lambda body, n: F.concat("dir", F.lit("/part"), F.floor(n / 3).cast("string"), F.lit(".txt:"), (n + 1).cast("string"), F.lit(":"), body)
+    # the rows of _search_rows, put together where a document is
+    search = documents.withColumn("dir", F.concat_ws("/", "lang", "source")).select(name("s"), F.array_join(F.transform(F.split("text", "\n", -1), row), "\n").alias("text"))
+    texts = search.where("text IS NOT NULL").union(joined(_shapes(spark, sf_dir), "id", "n", F.col("line"), "text")).union(documents.select(name("d"), "text"))
     return folds.smallest_fold(texts, "id", "text").select("id", "fold", F.length("text").cast("long").alias("size"), F.sha2("text", 256).alias("hash"))
