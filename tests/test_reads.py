@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import tempfile
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,3 +100,19 @@ def test_stream_equals_batch(spark):
         spark.conf.set(S.STORE[0], before)
     batch = R.matured_reads(spark.createDataFrame(rows, SCHEMA), 5, 20, spark.createDataFrame([(s, 9999) for s in "abcd"], "session string, end long")).distinct()
     assert got == {(r.session, r.path, r["at"] * 60.0, r.matures * 60.0) for r in batch.collect()}
+
+
+@pytest.mark.parametrize("until", [0, 40, 90, 10_000])
+def test_many_files_in_a_state(until):
+    """A state holds the files of many sessions; what matures and what is held of each is its own."""
+    rows = [r for r in made(5) if r[2] is not None]
+    touches = pd.DataFrame([(r[0], r[2], r[1], r[3] == "read") for r in rows], columns=["session", "path", "at", "is_read"])
+    out, left, due = S._Holder(5, 20)._mature(touches, until)
+    want = {k: v for k, v in plain_mature(rows, 5, 20, {s: 300 for s in "abcd"}).items() if v is not None}
+    ms = lambda c: [int(x.timestamp() * 1000) for x in c]
+    got = {(s, p, a): m for s, p, a, m in zip(out["session"], out["path"], ms(out["at"]), ms(out["matures"]), strict=True)}
+    assert got == {k: v for k, v in want.items() if v <= until}
+    later = [v for v in want.values() if v > until]
+    assert due == (min(later) if later else None) and bool(len(left)) == bool(later)
+    again, _, _ = S._Holder(5, 20)._mature(left, 10_000) if len(left) else (out[:0], None, None)
+    assert {(s, p, a): m for s, p, a, m in zip(again["session"], again["path"], ms(again["at"]), ms(again["matures"]), strict=True)} == {k: v for k, v in want.items() if v > until}
