@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import duckdb
 import pandas as pd
 import pytest
@@ -105,3 +107,18 @@ def test_by_group_orders_rows(spark):
     df = spark.range(20).select((F.col("id") % 2).alias("k"), (F.lit(100) - F.col("id")).alias("o"))
     out = greedy.by_group(df, "k", ["o"], lambda pdf: pd.DataFrame({"k": pdf["k"], "first": [pdf["o"][0]] * len(pdf)}), "k long, first long")
     assert {(r.k, r.first) for r in out.collect()} == {(0, 82), (1, 81)}
+
+
+def test_first_fit_rows(spark):
+    """Groups of all sizes, odd ranks and sizes against one group at a time."""
+    rng, nan = random.Random(2), float("nan")
+    rows = [(k, i, rng.choice([-1.5, 0.0, 2.0, nan, None, 7.0]), rng.choice([0, 1, 5, 30, 90, None])) for k in (None, 1, 2, 3) for i in range(1 if k == 3 else 3000)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "user long, id long, rank double, size long").repartition(3)
+    got = {(r.user, r.id): r.kept for r in greedy.first_fit_rows(df, "user", ["rank", "id"], "size", 200).collect()}
+    want = {}
+    for user in (None, 1, 2, 3):
+        own = sorted((r for r in rows if r[0] == user), key=lambda r: (r[2] is None or r[2] != r[2], 0 if r[2] is None or r[2] != r[2] else r[2], r[1]))
+        want |= {(user, r[1]): f for r, f in zip(own, greedy.first_fit([10**9 if r[3] is None else r[3] for r in own], 200), strict=True)}
+    assert got == want
+    assert greedy.first_fit_rows(df.limit(0), "user", ["rank", "id"], "size", 200).count() == 0

@@ -218,11 +218,7 @@ def memory_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row 185: which of a customer's orders fit into a budget, the dearest first."""
     ship(spark)
     m = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("id"), (-F.col("o_totalprice")).alias("rank"), (F.floor(F.col("o_totalprice")) % 900).cast("long").alias("size"))
-
-    def rule(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"user_id": pdf["user_id"], "id": pdf["id"], "kept": greedy.first_fit(pdf["size"].tolist(), 2000)})
-
-    return greedy.by_group(m, "user_id", ["rank", "id"], rule, "user_id long, id long, kept boolean")
+    return greedy.first_fit_rows(m, "user_id", ["rank", "id"], "size", 2000).select("user_id", "id", "kept")
 
 
 @query()
