@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tokenloom.operators import greedy
+from tokenloom.operators import agents, greedy
 from tokenloom.plans.agents import QUERIES_OF_GREEDY_RULES as RULES
 from tokenloom.plans.catalogue import QUERIES
 from tokenloom.plans import streams  # noqa: F401  registers its queries
@@ -122,3 +122,15 @@ def test_first_fit_rows(spark):
         want |= {(user, r[1]): f for r, f in zip(own, greedy.first_fit([10**9 if r[3] is None else r[3] for r in own], 200), strict=True)}
     assert got == want
     assert greedy.first_fit_rows(df.limit(0), "user", ["rank", "id"], "size", 200).count() == 0
+
+
+def test_typos_by_names(spark):
+    """Rows of one name are compared as one, and stand for all their pairs."""
+    rng = random.Random(3)
+    rows = [(k % 90, rng.choice(["a", "b", None]), rng.choice(["red bolt", "red bolts", "blue ring", "bolt", "ring", "é漢", "", None])) for k in range(100)]
+    df = spark.createDataFrame(rows, "key long, brand string, name string")
+    found = agents.likely_typos(df, ["brand"], "name", "key")
+    old = df.selectExpr("key AS a", "brand", "name AS n").join(df.selectExpr("key AS b", "brand", "name AS m"), "brand").where("a < b AND levenshtein(n, m) <= greatest(2, floor(greatest(length(n), length(m)) / 3))")
+    assert sorted(found.collect()) == sorted(old.select("a", "b").collect()) != []
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan.split("levenshtein")[1]

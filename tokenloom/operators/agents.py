@@ -35,11 +35,18 @@ def marker_hashes(texts: DataFrame, key: str, text: Column, pattern: str = r"has
 def likely_typos(names: DataFrame, group: Sequence[str], name: str, key: str) -> DataFrame:
     """Row 85: pairs of a group whose names differ by at most two letters or a third of the longer one.
 
-    Compares within groups only, which sessions keep small.
+    Different names of a group are compared once, whatever the number of their rows; then each pair of names stands for the pairs of its rows.
     """
-    a, b = (names.select(*group, F.col(name).alias(f"name_{x}"), F.col(key).alias(x)) for x in "ab")
+    rows = names.where(F.col(name).isNotNull()).select(*group, F.col(name).alias("name"), F.col(key).alias("key"))
+    kinds = rows.select(*group, "name").distinct()
+    one, other = (kinds.withColumnRenamed("name", f"name_{x}") for x in "ab")
     most = F.greatest(F.lit(2), F.floor(F.greatest(F.length("name_a"), F.length("name_b")) / 3)).cast("int")
-    return a.join(b, list(group)).where((F.col("a") < F.col("b")) & (F.levenshtein("name_a", "name_b") <= most)).select("a", "b")
+    alike = one.join(other, list(group)).where((F.col("name_a") <= F.col("name_b")) & (F.levenshtein("name_a", "name_b") <= most))
+    a, b = (rows.withColumnsRenamed({"name": f"name_{x}", "key": x}) for x in "ab")
+    both = alike.join(a, [*group, "name_a"]).join(b, [*group, "name_b"])
+    # rows of one name meet in both orders, those of two names in one
+    wanted = (F.col("a") < F.col("b")) | ((F.col("a") > F.col("b")) & (F.col("name_a") != F.col("name_b")))
+    return both.where(wanted).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def without_contradictions(rules: DataFrame) -> DataFrame:
