@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -61,6 +62,14 @@ def test_restore(items):
     assert T.markdown_records(items).where("key = 0").first().text.split("\n")[:2] == ["2 records", ""]
 
 
+def test_one_exchange(items):
+    """Tables are made on one exchange by key."""
+    plan = T.csv_schema(T.tables(items))._jdf.queryExecution().executedPlan().toString()
+    assert len(set(re.findall(r"Exchange (hashpartitioning\(.*?\)), ENSURE", plan))) == 1
+    nulls = items.select(F.lit(None).cast("long").alias("key"), "pos", "item")
+    assert T.tables(nulls).count() == 0
+
+
 def test_cell_classes(spark):
     strings = ["short", '{"a": 1}', " [1]", "[not json", "QUJD" * 80, "<p>" * 100, "long words " * 40, "Q" * 256, None]
     rows = [(json.dumps(x), c) for x, c in zip(strings, ["scalar", "text_json", "text_json", "scalar", "base64", "html", "long", "scalar", "scalar"], strict=True)] + [("1", "scalar"), ("[1]", "array"), ("{}", "object")]

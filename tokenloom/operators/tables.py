@@ -57,9 +57,9 @@ def skeleton(value: Column) -> Column:
     return F.schema_of_variant(value)
 
 
-def exploded_fields(rows: DataFrame, value: str) -> DataFrame:
-    """A row for each field or item of the VARIANT ``value``, with its ``_at``, ``_name`` (null for an array's) and ``_value``."""
-    return rows.sparkSession.sql(f"SELECT r.*, e.pos AS _at, e.key AS _name, e.value AS _value FROM {{r}} r, LATERAL variant_explode(r.`{value}`) e", r=rows)
+def exploded_fields(rows: DataFrame, value: str, outer: bool = False) -> DataFrame:
+    """A row for each field or item of the VARIANT ``value``, with its ``_at``, ``_name`` (null for an array's) and ``_value``; ``outer``: one of nulls where there is none."""
+    return rows.sparkSession.sql(f"SELECT r.*, e.pos AS _at, e.key AS _name, e.value AS _value FROM {{r}} r, LATERAL variant_explode{'_outer' * outer}(r.`{value}`) e", r=rows)
 
 
 def cells(items: DataFrame) -> DataFrame:
@@ -97,38 +97,63 @@ def _quoted(name: Column) -> Column:
     return F.when(name.rlike(rf"^{PLAIN}\z"), name).otherwise(json_string(name))
 
 
+def _told_cells(items: DataFrame) -> DataFrame:
+    """``key, pos, by, bucket, rows, path, value, tag``: the cells of arrays that hold objects only, each with its bucket and the rows of that; an empty object is a row whose path is null.
+
+    As ``cells`` and ``discriminators`` find them, by windows of one array, field or row: what is dealt out by key once stays where it is.
+    """
+    of = lambda *by: Window.partitionBy("key", *by)
+    whole = items.where("item IS NOT NULL").select("key", "pos", "item", type_tag(F.col("item")).alias("tag"))
+    whole = whole.select("key", "pos", "item", F.bool_and((F.col("tag") == "object") & F.col("key").isNotNull()).over(of()).alias("pure"), F.count("*").over(of()).alias("all")).where("pure")
+    each = exploded_fields(whole.select("key", "pos", "all", "item"), "item", outer=True).select("key", "pos", "all", F.col("_name").alias("field"), F.col("_value").alias("value"))
+    each = each.withColumn("tag", type_tag(F.col("value")))
+    inner = F.when(F.col("tag") == "object", F.array_sort(F.json_object_keys(F.to_json("value"))))
+    each = each.withColumn("inner", inner).withColumn("json", F.when(F.col("tag") == "string", F.to_json("value")))
+    sized = {"objects": F.bool_and(F.col("tag") == "object").over(of("field")), "low": F.min("inner").over(of("field")), "high": F.max("inner").over(of("field")), "strings": F.bool_and(F.col("tag") == "string").over(of("field")), "n": F.count("*").over(of("field"))}
+    by_value = of("field").orderBy("json")
+    each = each.withColumns(sized).withColumns({"kind": F.dense_rank().over(by_value), "nth": F.row_number().over(by_value)}).withColumn("kinds", F.max("kind").over(of("field")))
+    flat = F.coalesce(F.col("objects") & (F.col("low") == F.col("high")) & F.size("low").between(1, INNER), F.lit(False))
+    first, full = F.col("field").isNotNull() & (F.col("nth") == 1), F.col("n") == F.col("all")
+    each = each.select("key", "pos", "all", "field", "value", "json", "n", "strings", "kinds", flat.alias("flat"), (F.count_if(first & full).over(of()) / F.count_if(first).over(of())).alias("core"))
+    fit = F.col("field").isNotNull() & (F.col("core") < CORE) & full & F.col("strings") & F.col("kinds").between(*BUCKETS) & (F.col("kinds") / F.col("all") <= UNLIKE)
+    each = each.withColumn("by", F.min(F.when(fit, F.struct((-F.col("kinds")).alias("kinds"), "field"))).over(of())["field"])
+    bucket = F.coalesce(F.max(F.when(F.col("field") == F.col("by"), F.col("json"))).over(of("pos")), F.lit(""))
+    one = (F.row_number().over(of("pos").orderBy("field")) == 1).cast("long")
+    each = each.withColumns({"bucket": bucket, "one": one}).withColumn("rows", F.sum("one").over(of("bucket")))
+    by = F.when(F.col("by").isNotNull(), F.array("by"))
+    opened = exploded_fields(each.select("key", "pos", by.alias("by"), "bucket", "rows", "field", "value", F.when(F.col("flat"), F.col("value")).alias("open")), "open", outer=True)
+    path = F.when(F.col("_name").isNotNull(), F.array("field", "_name")).when(F.col("field").isNotNull(), F.array("field"))
+    value = F.when(F.col("_name").isNotNull(), F.col("_value")).otherwise(F.col("value"))
+    return opened.select("key", "pos", "by", "bucket", "rows", path.alias("path"), value.alias("value")).withColumn("tag", type_tag(F.col("value")))
+
+
 def tables(items: DataFrame) -> DataFrame:
     """Row 224: ``key, bucket, by, value, rows, columns, lines``: the tables of every array that holds objects only.
 
     ``columns`` are structs of path, type and ``optional`` (a row lacks it or has null), by frequency, then by name; a column of several types is ``json``.
-    ``lines`` are the rows' texts in order.  An array without a discriminator is one bucket whose ``by`` is null.
+    ``lines`` are the rows' texts in order.  An array without a discriminator is one bucket whose ``by`` is null.  Items are dealt out by key once.
     """
-    shared_folder(items.sparkSession)
-    found = cells(items).checkpoint()  # what follows reads it six times
-    rows = items.where("item IS NOT NULL").groupBy("key").agg(F.count("*").alias("rows"))
-    by = discriminators(found, rows)
-    told = found.join(by, "key").where(F.col("path") == F.col("field")).select("key", "pos", F.col("field").alias("by"), F.to_json("value").alias("bucket"))
-    pure = items.where("item IS NOT NULL").groupBy("key").agg(F.bool_and(type_tag(F.col("item")) == "object").alias("pure")).where("pure").select("key")
-    placed = items.where("item IS NOT NULL").join(pure, "key").select("key", "pos").join(told, ["key", "pos"], "left").withColumn("bucket", F.coalesce("bucket", F.lit(""))).checkpoint()
-    sizes = placed.groupBy("key", "bucket").agg(F.count("*").alias("rows"), F.first("by").alias("by"))
-    own = found.join(placed.select("key", "pos", "bucket"), ["key", "pos"])
-    several = F.collect_set(F.when(F.col("tag") != "null", F.col("tag")))
-    stats = own.groupBy("key", "bucket", "path").agg(F.count("*").alias("n"), F.count_if(F.col("tag") == "null").alias("nulls"), several.alias("tags")).join(sizes.select("key", "bucket", "rows"), ["key", "bucket"])
-    tag = F.when(F.size("tags") == 1, F.col("tags")[0]).when(F.size("tags") == 0, "null").otherwise("json")
-    column = F.struct((-F.col("n")).alias("n"), "path", tag.alias("type"), ((F.col("n") < F.col("rows")) | (F.col("nulls") > 0)).alias("optional"))
-    columns = stats.groupBy("key", "bucket").agg(F.transform(F.sort_array(F.collect_list(column)), lambda c: F.struct(c["path"].alias("path"), c["type"].alias("type"), c["optional"].alias("optional"))).alias("columns"))
-    order = Window.partitionBy("key", "bucket").orderBy(F.desc("n"), "path")
-    numbers = stats.select("key", "bucket", "path", (F.row_number().over(order) - 1).alias("c"), F.count("*").over(Window.partitionBy("key", "bucket")).alias("of"))
-    cell = own.join(numbers, ["key", "bucket", "path"]).groupBy("key", "pos").agg(F.sort_array(F.collect_list(F.struct("c", F.to_json("value").alias("json")))).alias("cells"), F.first("of").alias("of"))
-    lacks = F.array_except(F.sequence(F.lit(0), F.col("of") - 1), F.col("cells.c"))
-    text = F.concat(F.when(F.size(lacks) > 0, F.concat(F.lit("!"), F.array_join(lacks.cast("array<string>"), "."), F.lit(" "))).otherwise(""), F.array_join("cells.json", ","))
-    line = placed.join(cell.select("key", "pos", text.alias("text")), ["key", "pos"], "left").join(columns.select("key", "bucket", F.size("columns").alias("of")), ["key", "bucket"], "left")
+    found = _told_cells(items)
+    column, bucket = Window.partitionBy("key", "bucket", "path"), Window.partitionBy("key", "bucket")
+    tag = F.when(F.col("tag") != "null", F.col("tag"))
+    found = found.withColumns({"n": F.count("*").over(column), "nulls": F.count_if(F.col("tag") == "null").over(column), "low": F.min(tag).over(column), "high": F.max(tag).over(column)})
+    order = bucket.orderBy(F.col("path").isNull(), F.desc("n"), "path")
+    found = found.withColumns({"c": F.when(F.col("path").isNotNull(), F.dense_rank().over(order) - 1), "nth": F.row_number().over(column.orderBy("pos"))}).withColumn("of", F.max("c").over(bucket) + 1)
+    kind = F.when(F.col("low").isNull(), "null").when(F.col("low") == F.col("high"), F.col("low")).otherwise("json")
+    head = F.struct("c", "path", kind.alias("type"), ((F.col("n") < F.col("rows")) | (F.col("nulls") > 0)).alias("optional"))
+    named = F.col("path").isNotNull()
+    row = found.groupBy("key", "bucket", "pos").agg(
+        F.sort_array(F.collect_list(F.when(named, F.struct("c", F.to_json("value").alias("json"))))).alias("cells"), F.collect_list(F.when(named & (F.col("nth") == 1), head)).alias("heads"),
+        F.first("of").alias("of"), F.first("by").alias("by"), F.first("rows").alias("rows"),
+    )
     # an empty object lacks every column
-    every = F.when(F.coalesce("of", F.lit(0)) > 0, F.concat(F.lit("!"), F.array_join(F.sequence(F.lit(0), F.col("of") - 1).cast("array<string>"), "."), F.lit(" "))).otherwise("")
+    lacks = F.when(F.coalesce("of", F.lit(0)) > 0, F.array_except(F.sequence(F.lit(0), F.col("of") - 1), F.col("cells.c"))).otherwise(F.array().cast("array<int>"))
+    text = F.concat(F.when(F.size(lacks) > 0, F.concat(F.lit("!"), F.array_join(lacks.cast("array<string>"), "."), F.lit(" "))).otherwise(""), F.array_join("cells.json", ","))
     told_place = F.when(F.col("by").isNotNull(), F.concat(F.lit("@"), F.col("pos").cast("string"), F.lit(" "))).otherwise("")
-    lines = line.groupBy("key", "bucket").agg(F.sort_array(F.collect_list(F.struct("pos", F.concat(told_place, F.coalesce("text", every)).alias("line"))))["line"].alias("lines"))
-    none = F.array().cast(columns.schema["columns"].dataType)
-    return sizes.join(columns, ["key", "bucket"], "left").join(lines, ["key", "bucket"]).select("key", "bucket", "by", "rows", F.coalesce("columns", none).alias("columns"), "lines")
+    line = row.select("key", "bucket", "by", "rows", "heads", F.struct("pos", F.concat(told_place, text).alias("line")).alias("line"))
+    whole = line.groupBy("key", "bucket").agg(F.first("by").alias("by"), F.first("rows").alias("rows"), F.sort_array(F.flatten(F.collect_list("heads"))).alias("heads"), F.sort_array(F.collect_list("line"))["line"].alias("lines"))
+    columns = F.transform("heads", lambda c: F.struct(c["path"].alias("path"), c["type"].alias("type"), c["optional"].alias("optional")))
+    return whole.select("key", "bucket", "by", "rows", columns.alias("columns"), "lines")
 
 
 def _name(path: Column) -> Column:
@@ -158,27 +183,30 @@ def json_tables(found: DataFrame) -> DataFrame:
 
 
 def restored(texts: DataFrame) -> DataFrame:
-    """``key, pos, item`` (VARIANT) from ``key, text`` of ``csv_schema``; without buckets places count from 0."""
-    shared_folder(texts.sparkSession)
-    lines = texts.select("key", F.posexplode(F.split("text", "\n", -1)).alias("n", "line")).checkpoint()
+    """``key, pos, item`` (VARIANT) from ``key, text`` of ``csv_schema``; without buckets places count from 0.
+
+    A line's columns are those of the last header above it, by a window of its table: texts that are dealt out by key stay where they are.
+    """
+    lines = texts.select("key", F.posexplode(F.split("text", "\n", -1)).alias("n", "line")).withColumn("head", F.col("line").rlike(HEADER))
     w = Window.partitionBy("key").orderBy("n")
-    marked = lines.withColumn("head", F.col("line").rlike(HEADER)).withColumn("t", F.sum(F.col("head").cast("int")).over(w))
     parts = lambda name: F.transform(F.regexp_extract_all(name, F.lit(_NAME), F.lit(0)), lambda p: F.when(p.startswith('"'), F.try_variant_get(F.try_parse_json(p), "$", "string")).otherwise(p))
     inner = F.regexp_extract("line", HEADER, 2)
-    heads = marked.where("head").select("key", "t", F.transform(F.regexp_extract_all(inner, F.lit(_COLUMN), F.lit(1)), parts).alias("columns"))
-    row = marked.where("NOT head").select("key", "t", "n", *[F.regexp_extract("line", r"(?s)^(?:@([0-9]+) )?(?:!([0-9.]+) )?(.*)\z", k).alias(c) for k, c in ((1, "at"), (2, "lacks"), (3, "cells"))])
-    place = F.row_number().over(Window.partitionBy("key").orderBy("n")) - 1
-    row = row.withColumn("pos", F.when(F.col("at") != "", F.col("at").cast("long")).otherwise(place)).join(heads, ["key", "t"])
+    lines = lines.withColumn("own", F.when(F.col("head"), F.transform(F.regexp_extract_all(inner, F.lit(_COLUMN), F.lit(1)), parts)))
+    marked = lines.withColumns({"columns": F.last("own", True).over(w), "place": F.sum((~F.col("head")).cast("long")).over(w) - 1})
+    row = marked.where("NOT head").select("key", "place", "columns", *[F.regexp_extract("line", r"(?s)^(?:@([0-9]+) )?(?:!([0-9.]+) )?(.*)\z", k).alias(c) for k, c in ((1, "at"), (2, "lacks"), (3, "cells"))])
+    row = row.withColumn("pos", F.when(F.col("at") != "", F.col("at").cast("long")).otherwise(F.col("place")))
     gone = F.when(F.col("lacks") == "", F.array().cast("array<int>")).otherwise(F.split("lacks", r"\.").cast("array<int>"))
     has = F.array_except(F.when(F.size("columns") > 0, F.sequence(F.lit(0), F.size("columns") - 1)).otherwise(F.array().cast("array<int>")), gone)
-    row = row.select("key", "pos", F.transform(has, lambda i: F.col("columns")[i]).alias("paths"), F.parse_json(F.concat(F.lit("["), "cells", F.lit("]"))).alias("values")).checkpoint()
-    each = exploded_fields(row, "values").select("key", "pos", F.get("paths", F.col("_at")).alias("path"), F.to_json("_value").alias("json"))
+    row = row.select("key", "pos", F.transform(has, lambda i: F.col("columns")[i]).alias("paths"), F.parse_json(F.concat(F.lit("["), "cells", F.lit("]"))).alias("values"))
+    each = exploded_fields(row, "values", outer=True).select("key", "pos", F.get("paths", F.col("_at")).alias("path"), F.to_json("_value").alias("json"))
     field = lambda name, value: F.concat(json_string(name), F.lit(":"), value)
     whole = lambda pairs: F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
-    deep = each.where(F.size("path") == 2).groupBy("key", "pos", F.col("path")[0].alias("name")).agg(whole(F.collect_list(field(F.col("path")[1], F.col("json")))).alias("json"))
-    fields = each.where(F.size("path") == 1).select("key", "pos", F.col("path")[0].alias("name"), "json").union(deep)
-    objects = fields.groupBy("key", "pos").agg(whole(F.collect_list(field(F.col("name"), F.col("json")))).alias("json"))
-    return row.select("key", "pos").join(objects, ["key", "pos"], "left").select("key", "pos", F.parse_json(F.coalesce("json", F.lit("{}"))).alias("item"))
+    # an inner object's fields share its name; an empty object has a row without a path
+    deep = F.when(F.size("path") == 2, field(F.get("path", F.lit(1)), F.col("json")))
+    fields = each.groupBy("key", "pos", F.get("path", F.lit(0)).alias("name")).agg(F.collect_list(deep).alias("deep"), F.first("json").alias("json"))
+    value = F.when(F.size("deep") > 0, whole(F.col("deep"))).otherwise(F.col("json"))
+    objects = fields.groupBy("key", "pos").agg(whole(F.collect_list(field(F.col("name"), value))).alias("json"))
+    return objects.select("key", "pos", F.parse_json("json").alias("item"))
 
 
 def inner_arrays(documents: DataFrame, depth: int = 32) -> DataFrame:
