@@ -117,3 +117,14 @@ def test_fold(spark, seed, least, least_chars):
 def test_nothing(spark):
     none = sessions.blocks(spark.createDataFrame([], SCHEMA), "s", "t", "x")
     assert sessions.fold_repeats(none).count() == 0 and sessions.unfold_repeats(sessions.fold_repeats(none)).count() == 0
+
+
+def test_only_places_go_through_the_rounds(spark, tmp_path, monkeypatch):
+    """Lines are written once, however many rounds a chain of pointers takes."""
+    monkeypatch.setattr(sessions, "shared_folder", lambda _: f"file://{tmp_path}")
+    chain = ["one line of text\nanother line\n  12\tthird"] + [f"[[3 lines of block {k} from 1, numbers +1]]" for k in range(9)]
+    folded = spark.createDataFrame([("s", k, k, False, x) for k, x in enumerate(chain)], "session string, block long, turn long, protected boolean, text string")
+    got = {r.block: r.text for r in sessions.unfold_repeats(folded).collect()}
+    assert got == {k: f"one line of text\nanother line\n  {12 + k}\tthird" for k in range(10)}
+    written = {p.name: spark.read.parquet(str(p)).columns for p in tmp_path.glob("*/*")}
+    assert len(written) > 3 and [n for n, c in written.items() if "line" in c] == ["rows"]

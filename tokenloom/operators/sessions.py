@@ -11,6 +11,8 @@ is an equijoin or a window within one text; a window that very many blocks have
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,10 +119,16 @@ def _shifted(line: Column, shift: Column) -> Column:
 def unfold_repeats(folded: DataFrame) -> DataFrame:
     """``session, block, turn, text`` as ``fold_repeats`` found them, from its rows alone.
 
-    Pointers to lines that are folded themselves follow those lines' pointers, twice as far in each round.
+    Pointers to lines that are folded themselves follow those lines' pointers, twice as far in each round.  Only places go through the rounds;
+    lines are written once and meet the places in the end.
     """
     spark = folded.sparkSession
-    shared_folder(spark)
+    root = f"{shared_folder(spark).rstrip('/')}/tokenloom-unfold-{uuid.uuid4().hex}"
+
+    def saved(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{root}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{root}/{name}")
+
     own = folded.where("session IS NOT NULL").select(*_BLOCK, "protected", F.posexplode(F.split("text", "\n", -1)).alias("k", "line"))
     part = lambda k: F.when(F.col("protected"), "").otherwise(F.regexp_extract("line", POINTER, k))
     parsed = own.withColumn("count", F.when(part(1) != "", part(1).cast("long")).otherwise(1))
@@ -131,12 +139,20 @@ def unfold_repeats(folded: DataFrame) -> DataFrame:
     rows = wide.select(
         *_BLOCK, (F.col("begins") + F.col("i")).alias("n"), F.when(~is_pointer, literal).alias("line"), F.when(is_pointer, part(2).cast("long")).alias("of"),
         F.when(is_pointer, part(3).cast("long") - 1 + F.col("i")).alias("at"), F.when(is_pointer, part(4).cast("long")).otherwise(0).alias("shift"),
-    ).checkpoint()
-    while rows.where("of IS NOT NULL").limit(1).count():
-        known = rows.select("session", F.col("block").alias("of"), F.col("n").alias("at"), F.col("line").alias("_line"), F.col("of").alias("_of"), F.col("at").alias("_at"), F.col("shift").alias("_shift"))
-        met = rows.where("of IS NOT NULL").join(known, ["session", "of", "at"])
-        next_ = met.select(*_BLOCK, "n", _shifted(F.col("_line"), F.col("shift")).alias("line"), F.col("_of").alias("of"), F.col("_at").alias("at"), (F.col("shift") + F.when(F.col("_of").isNull(), 0).otherwise(F.col("_shift"))).alias("shift"))
-        rows = rows.where("of IS NULL").unionByName(next_).checkpoint()
+    )
+    rows = saved(rows, "rows")
+    literal = rows.where("of IS NULL").select(*_BLOCK, "n", "line")
+    places, moved, number = rows.where("of IS NOT NULL").select(*_BLOCK, "n", "of", "at", "shift"), True, 0
+    while moved:
+        known = places.select("session", F.col("block").alias("of"), F.col("n").alias("at"), F.col("of").alias("_of"), F.col("at").alias("_at"), F.col("shift").alias("_shift"))
+        met = places.join(known, ["session", "of", "at"], "left")
+        next_ = met.select(*_BLOCK, "n", F.coalesce("_of", "of").alias("of"), F.coalesce("_at", "at").alias("at"), (F.col("shift") + F.coalesce("_shift", F.lit(0))).alias("shift"), F.col("_of").isNotNull().alias("moved"))
+        number += 1
+        next_ = saved(next_, f"places-{number}")
+        moved, places = next_.where("moved").limit(1).count() > 0, next_.drop("moved")
+    source = literal.select("session", F.col("block").alias("of"), F.col("n").alias("at"), "line")
+    resolved = places.join(source, ["session", "of", "at"]).select(*_BLOCK, "n", _shifted(F.col("line"), F.col("shift")).alias("line"))
+    rows = literal.union(resolved)
     whole = rows.groupBy(*_BLOCK).agg(F.sort_array(F.collect_list(F.struct("n", "line"))).alias("lines"))
     return folded.join(whole.select(*_BLOCK, F.array_join("lines.line", "\n").alias("whole")), _BLOCK, "left").select(*_BLOCK, "turn", F.coalesce("whole", "text").alias("text"))
 
